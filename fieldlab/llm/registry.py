@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import exact_dedup, mixing, token_counts
+from fieldlab.llm import decontamination, exact_dedup, mixing, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op4_decontamination": decontamination.OP4_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
