@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, exact_dedup, mixing, secrets, token_counts
+from fieldlab.llm import decontamination, exact_dedup, language_id, mixing, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
