@@ -8,8 +8,8 @@ centroids per language by spherical k-means.
 
 Prediction: a text's unit TF-IDF vector goes to the language of the centroid
 with the highest cosine, which is the score. A text whose distance
-(1 - cosine) exceeds that of nearly all training documents of its language is
-flagged as rejected; so is a text that is null or has no letter, which gets
+(1 - cosine) exceeds that of all sampled training documents of its language by
+a margin, wider for short texts, is flagged as rejected; so is a text that is null or has no letter, which gets
 language `und` and score 0. Whole texts are read.
 
 Repeated rows each give a row. Training rows without a language or a letter
@@ -32,7 +32,9 @@ PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 8
 #: A language rejects what lies further away than all of its sample and this much more.
-SLACK = 1.15
+SLACK = 1.3
+#: Texts of fewer different n-grams than this are accepted from proportionally (by root) lower cosines, as chance dominates theirs.
+FULL = 600
 UNDETERMINED = "und"
 
 
@@ -105,7 +107,8 @@ class Model:
         cosines = self.centres @ unit(counts, self.idf)
         best = int(cosines.argmax())
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[best], score, score < self.least[self.languages[best]]
+        enough = min(1.0, float(np.count_nonzero(counts)) / FULL) ** 0.5
+        return self.languages[best], score, score < self.least[self.languages[best]] * enough
 
 
 def fit(

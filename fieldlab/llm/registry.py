@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, exact_dedup, language_id, mixing, secrets, token_counts
+from fieldlab.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
