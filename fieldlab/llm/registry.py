@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, token_counts
+from fieldlab.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
@@ -17,5 +18,6 @@ ORACLES = {
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
