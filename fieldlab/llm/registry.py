@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, secrets, substring_dedup, token_counts
+from fieldlab.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -17,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_near_dedup": near_dedup.OP2_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
