@@ -143,6 +143,11 @@ def parse_run_filename(name: Column | str) -> Column:
     return F.struct(*[value(k, t).alias(k) for k, t in RUN_PROPERTIES.items()])
 
 
+def run_timestamp(name: Column | str) -> Column:
+    found = F.regexp_extract(base_name(name), r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}_[0-9]{2}_[0-9]{2})", 1)
+    return F.when(found != "", found)
+
+
 def run_filename(prefix: str, properties: dict[str, Column], suffix_: str = "") -> Column:
     """prefix_key_value...suffix of the known keys, in the order given."""
     parts = [F.lit(prefix)]
@@ -154,19 +159,18 @@ def run_filename(prefix: str, properties: dict[str, Column], suffix_: str = "")
 
 
 def ellipsed_path(path: Column | str, acceptable: int = 25) -> Column:
-    """The path with directories after the first left out, from the left, until it is short enough."""
+    """First directory and file name stay; directories after the first go, from the left, until the rest fits; '...' stands in the middle."""
     p = _col(path)
-    parts = F.split(F.regexp_replace(p, "^/", ""), "/")
+    parts = F.filter(F.split(p, "/"), lambda x: x != "")
     n = F.size(parts)
     lead = F.when(F.startswith(p, F.lit("/")), "/").otherwise("")
-    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
-    # leave out 1, 2, ... of the directories between first and name; the first result that fits is taken
-    tries = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-        lambda k: F.concat(lead, F.concat_ws("/", F.concat(F.array(first, F.lit("...")), F.slice(parts, k + 2, F.greatest(n - 2 - k, F.lit(0))), F.array(last)))),
-    )
-    fitting = F.filter(tries, lambda t: F.length(t) <= acceptable)
-    return F.when((F.length(p) <= acceptable) | (n < 3), p).otherwise(F.coalesce(F.try_element_at(fitting, F.lit(1)), F.element_at(tries, -1)))
+    first, name = F.element_at(parts, 1), F.element_at(parts, -1)
+    rest = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.concat(F.array(first), F.slice(parts, k + 2, F.greatest(n - 1 - k, F.lit(1)))))
+    fits = F.filter(rest, lambda r: F.length(F.array_join(r, "/")) <= acceptable)
+    taken = F.coalesce(F.try_element_at(fits, F.lit(1)), F.element_at(rest, -1))
+    half = F.floor(F.size(taken) / 2).cast("int")
+    short = F.concat(lead, F.array_join(F.concat(F.slice(taken, F.lit(1), half), F.array(F.lit("...")), F.slice(taken, half + 1, F.size(taken) - half)), "/"))
+    return F.when((F.length(p) <= acceptable) | (n < 2), p).when(F.length(name) >= acceptable, F.concat(lead, first, F.lit("/..."), name)).when(n < 3, p).otherwise(short)
 
 
 # ---- small conversions ------------------------------------------------------
@@ -177,7 +181,7 @@ def str2bool(s: Column | str) -> Column:
 def split_list(s: Column | str) -> Column:
     """Comma list to trimmed texts; empty text to an empty array; a bracketed list is null."""
     t = F.trim(_col(s))
-    items = F.filter(F.transform(F.split(t, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(~F.rlike(t, F.lit(r"^[\[(]")), items)
 
 
@@ -187,22 +191,22 @@ def minutes_seconds(text: Column | str) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc * 60 + x)
 
 
-def duration_text(seconds: Column | str) -> Column:
-    """'1 week, 2 days, 3 hours' and so on, without zero parts; under a second '< 1sec>'."""
-    s = F.floor(_col(seconds)).cast("long")
-    out = []
-    for name, size, within in (("week", 604800, None), ("day", 86400, 7), ("hour", 3600, 24), ("minute", 60, 60), ("second", 1, 60)):
-        n = F.floor(s / size)
-        n = n if within is None else n % within
-        out.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n > 1, "s").otherwise(""))))
-    return F.when(s < 1, "< 1sec>").otherwise(F.concat_ws(", ", *out))
+def duration_text(seconds: Column | str, granularity: int = 2) -> Column:
+    """'1.0 week, 2.0 days' and so on: the first parts that aren't zero; under a second '< 1sec>'."""
+    left = F.floor(_col(seconds)).cast("long")
+    parts = []
+    for name, size in (("weeks", 604800), ("days", 86400), ("hours", 3600), ("minutes", 60), ("seconds", 1)):
+        n = F.floor(left / size)
+        parts.append(F.when(n > 0, F.concat(n.cast("double").cast("string"), F.when(n == 1, f" {name[:-1]}").otherwise(f" {name}"))))
+        left = left - n * size
+    return F.when(F.floor(_col(seconds)) < 1, "< 1sec>").otherwise(F.array_join(F.slice(F.array_compact(F.array(*parts)), 1, granularity), ", "))
 
 
 def bytes_text(n: Column | str, suffix_: str = "B") -> Column:
     """1536 -> 1.5KB."""
     x = _col(n).cast("double")
     units = ["", "K", "M", "G", "T", "P", "E", "Z"]
-    out = F.concat(F.format_number(x / float(1024**8), 1), F.lit("Y" + suffix_))
+    out = F.concat(F.format_number(x / float(1024**8), 1), F.lit("Yi" + suffix_))
     for i in reversed(range(len(units))):
         out = F.when(F.abs(x) < float(1024 ** (i + 1)), F.concat(F.format_string("%3.1f", x / float(1024**i)), F.lit(units[i] + suffix_))).otherwise(out)
     return F.trim(out)

@@ -22,7 +22,7 @@ def read_selection_tables(spark: SparkSession, path: str | Sequence[str]) -> Dat
     schema = ", ".join(f"`{c}` string" for c in COLUMNS)
     raw = spark.read.option("recursiveFileLookup", "true").csv(path, sep="\t", header=True, schema=schema)
     numbers = {c: F.col(f"`{c}`").try_cast("double") for c in NUMBERS}
-    mix = F.filter(F.transform(F.split(F.coalesce("mix", F.lit("")), ","), F.trim), lambda x: x != "")
+    mix = F.filter(F.transform(F.split(F.coalesce("mix", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     typed = raw.withColumn("path", F.col("_metadata.file_path")).withColumns({**numbers, "mix": mix})
     interval = lambda a, b: F.struct(F.col(f"`{a}`").alias("low_val"), F.col(f"`{b}`").alias("high_val"))
     out = typed.withColumn("time_interval", interval("Begin Time (s)", "End Time (s)")).withColumn("freq_interval", interval("Low Freq (Hz)", "High Freq (Hz)"))

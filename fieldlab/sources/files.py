@@ -17,7 +17,7 @@ def expand_path(path: str) -> str:
 
 
 def list_files(spark: SparkSession, root: str | Sequence[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, length, modified) of files whose name matches the glob; contents are not read."""
+    """(path, length, modified) of files whose name matches the glob; contents are not read. Spark leaves out files of zero bytes."""
     roots = [root] if isinstance(root, str) else list(root)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if recursive:
