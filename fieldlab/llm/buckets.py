@@ -2,10 +2,15 @@
 
 A bucket's members are first paired with one hub each. Links found make
 components; buckets that still hold more than one component go round again:
-small ones with all pairs of different components, large ones with new hubs,
-until each pair in a bucket is in one component or was verified. Pairs grow
-with the members and not with their square, and no link between components is
-lost.
+
+- members that can't be linked with any other of their bucket leave it;
+- small buckets get all pairs of different components;
+- members of large ones are dealt to finer buckets, if the caller knows any;
+- in what is large even then, members outside the largest component become
+  hubs, a number at a time;
+
+until each pair in a bucket is in one component or was verified. No link
+between components is lost, and pairs within a component are never formed.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from fieldlab.llm.common import Scratch
 from fieldlab.llm.components import components
 
 SMALL_BUCKET = 64
-HUBS = 16
+HUBS = 128
 
 
 def shared_buckets(member: DataFrame, scratch: Scratch) -> DataFrame:
@@ -34,13 +39,19 @@ def _tidy(pairs: DataFrame) -> DataFrame:
 
 def link_components(
     member: DataFrame, compatible: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, *,
-    priority: Callable[[Column], Column] | None = None, small_bucket: int = SMALL_BUCKET, hubs: int = HUBS,
+    priority: Callable[[Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None,
+    possible: tuple[Callable[[Column], Column], Callable[[Column, Column], Column]] | None = None, small_bucket: int = SMALL_BUCKET, hubs: int = HUBS,
 ) -> DataFrame:
     """(node, component) of the nodes of `member` (band, node, fact) that have links.
 
     compatible: of two facts, whether their nodes can be linked at all.
     verified: keeps the pairs (a, b) that are links.
     priority: of a fact; nodes with low values become hubs first.
+    possible: (a measure of a fact, whether a fact can be linked with any whose
+    measure is the given one or more); members that can't be linked with any
+    other of their bucket leave it.
+    refine: of the members (band, node, fact) of large buckets that are still
+    open, finer buckets in which any two that can be linked still meet.
     """
 
     def hub_of(turn: int) -> Column:
@@ -58,6 +69,10 @@ def link_components(
         now = member.select("band", "node", "fact").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         if used is not None:
             now = now.join(used, ["band", "node"], "left_anti")
+        if possible is not None:
+            measure, can = possible
+            bound = now.groupBy("band").agg(F.min(measure(F.col("fact"))).alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "least")
+            now = scratch.keep(now.join(bound, "band").where(can(F.col("fact"), F.col("least"))).drop("least"), "possible")
         open_ = now.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "size")
         now = scratch.keep(now.join(open_, "band"), "open")
         if now.isEmpty():
@@ -65,9 +80,16 @@ def link_components(
         other = now.select("band", F.col("node").alias("b"), F.col("fact").alias("fb"), F.col("c").alias("cb"))
         small = now.where(F.col("size") <= small_bucket).join(other, "band").where((F.col("c") < F.col("cb")) & compatible(F.col("fact"), F.col("fb"))).select(F.col("node").alias("a"), "b")
         large = now.where(F.col("size") > small_bucket)
+        if refine is not None:
+            finer = shared_buckets(refine(large.select("band", "node", "fact")), scratch)
+            refine, large = None, large.limit(0)
+        else:
+            finer = None
         salt = F.pmod(F.xxhash64("node", F.lit(-turn)), F.lit(hubs)).alias("salt")
+        # members outside the bucket's largest component: once they have met all others nothing is open
+        held = large.groupBy("band", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("c", F.struct("held", "c")).alias("major"))
         # the component travels with the hub: only members of others are paired with it
-        hub = large.withColumn("fact_c", F.struct("fact", "c")).groupBy("band", salt).agg(
+        hub = large.join(held, "band").where("c <> major").withColumn("fact_c", F.struct("fact", "c")).groupBy("band", salt).agg(
             F.min(F.struct((F.lit(0) if priority is None else priority(F.col("fact"))).alias("first"), F.xxhash64("node", F.lit(turn)).alias("p"), "node", "fact_c")).alias("h")
         ).select("band", "h.node", "h.fact_c.fact", "h.fact_c.c")
         hub = scratch.keep(hub, "hubs")
@@ -79,6 +101,9 @@ def link_components(
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links, scratch)
+        if finer is not None:
+            member = finer
+            continue
         if hub.isEmpty():  # small buckets are settled after one turn
             return found
         done = hub.select("band", "node")

@@ -11,7 +11,9 @@ allow. So each line puts the hashes of its own segments into an index and
 probes it, for each length it may meet, with the few substrings that can be
 such a segment. Lines that share a hash are verified by edit distance: common
 ends are cut off and the rest goes through bit vectors of the band of
-2 * edits + 1 diagonals, one step per character.
+2 * edits + 1 diagonals, one step per character. Crowded buckets are first
+split by the lines' distances from a few of them, which the triangle
+inequality allows.
 
 Lines are carried as 64-bit and 128-bit hashes; their text is shuffled once, to
 be verified. Null text has no lines. Repeated rows repeat their lines; rows
@@ -28,6 +30,9 @@ from fieldlab.llm.common import Scratch, table
 
 EDITS = 2
 LEAST = 20
+#: Buckets of more lines are split by distance from so many of their lines.
+CROWD = 16
+PIVOTS = 3
 
 
 def lines_of(text: Column) -> Column:
@@ -153,7 +158,20 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         both = pairs.join(near.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         return both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
-    found = link_components(member, compatible, verified, scratch)
+    def cells(crowded: DataFrame) -> DataFrame:
+        """Buckets by distance from three lines of the old one: lines within `edits` of each other are as near to any third, give or take `edits`."""
+        names = [f"p{i}" for i in range(PIVOTS)]
+        pivots = crowded.groupBy("band").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("p"), "node"))["node"].alias(n) for i, n in enumerate(names)])
+        out = crowded.join(near, "node").join(pivots, "band")
+        for n in names:
+            out = out.join(near.select(F.col("node").alias(n), F.col("line").alias(f"{n}_line")), n)
+            away = F.levenshtein("line", f"{n}_line")
+            out = out.withColumn(n, F.array_distinct(F.array(F.floor(away / (edits + 1)), F.floor((away + edits) / (edits + 1))))).drop(f"{n}_line")
+        for n in names:
+            out = out.withColumn(n, F.explode(n))
+        return out.select(F.xxhash64("band", *names).alias("band"), "node", "fact")
+
+    found = link_components(member, compatible, verified, scratch, refine=cells, small_bucket=CROWD)
     place = rows.select("row", "id", F.posexplode("lines").alias("pos", "l")).select("row", "id", "pos", "l.*")
     # a linked line belongs to its component, any other to its equals
     place = place.join(found, "node", "left").withColumn("group", F.struct("component", F.when(F.col("component").isNull(), F.col("same")).alias("same")))
