@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.functions import scalars as S
-from fieldlab.operators import augment, counts, evaluate, filters, intervals, lookups, sampling, windows
+from fieldlab.operators import augment, counts, evaluate, filters, intervals, lookups, ordering, sampling, windows
 from fieldlab.sources import collections
 
 QUERIES: dict = {}
@@ -602,3 +602,83 @@ def q55_ensemble(spark, sf_dir):
     model = lambda at: e.select("vec_id", F.transform(F.slice("embedding", at, 10), lambda x: x.cast("double")).alias("scores"))
     mapping = spark.range(20).select(F.col("id").cast("int").alias("position"), (F.col("id") % 10).cast("int").alias("class_id"))
     return lookups.ensemble_prediction([model(1), model(11)], mapping, "vec_id")
+
+
+_ITEMS = """p AS (SELECT l_linenumber AS step, (l_linestatus = 'O')::INT AS label, CASE WHEN l_returnflag = 'N' THEN 1 WHEN l_returnflag = 'A' THEN 0 ELSE 2 END AS pred FROM lineitem),
+m AS (SELECT step, label AS truth, pred, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+k AS (SELECT step, truth AS c FROM m UNION SELECT step, pred FROM m),
+s AS (SELECT k.step, c, coalesce(sum(n) FILTER (truth = c AND pred = c), 0) AS tp, coalesce(sum(n) FILTER (pred = c), 0) AS got, coalesce(sum(n) FILTER (truth = c), 0) AS actual FROM k JOIN m ON m.step = k.step GROUP BY ALL),
+v AS (SELECT *, CASE WHEN got > 0 THEN tp / got ELSE 1 END AS p, CASE WHEN actual > 0 THEN tp / actual ELSE 1 END AS r, 2 * tp / (got + actual) AS f FROM s)"""
+
+
+def _line_items(spark, sf_dir):
+    """Line items as predictions: their status is the truth, their return flag the guess, their number the step."""
+    pred = F.when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "A", 0).otherwise(2)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("step"), (F.col("l_linestatus") == "O").cast("int").alias("label"), pred.alias("pred"))
+
+
+@query(f"""WITH {_ITEMS}
+SELECT step, round(sum(tp) / sum(actual), 9) AS accuracy, round(avg(r) FILTER (actual > 0), 9) AS balanced_accuracy, round(avg(p), 9) AS precision_macro, round(avg(r), 9) AS recall_macro, round(avg(f), 9) AS f1_macro,
+  round(sum(p * actual) / sum(actual), 9) AS precision_weighted, round(sum(f * actual) / sum(actual), 9) AS f1_weighted FROM v GROUP BY step""")
+def q56_epoch_summary(spark, sf_dir):
+    out = evaluate.epoch_summary(_line_items(spark, sf_dir), by=["step"])
+    names = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted", "f1_weighted")
+    return _rounded(out, *names).select("step", *names)
+
+
+@query(f"""WITH {_ITEMS} SELECT truth, pred, round(sum(n) / (SELECT count(DISTINCT step) FROM m), 9) AS mean_n FROM m GROUP BY truth, pred""")
+def q57_matrix_mean(spark, sf_dir):
+    matrices = evaluate.confusion_counts(_line_items(spark, sf_dir), ["step"])
+    return _rounded(evaluate.aggregate_matrices(matrices), "mean_n")
+
+
+@query(f"""WITH {_ITEMS}, a AS (SELECT c, sum(tp) AS tp, sum(got) AS got, sum(actual) AS actual FROM s GROUP BY c)
+SELECT i::INT AS cls, CASE WHEN actual > 0 THEN round(CASE WHEN got > 0 THEN tp / got ELSE 0 END, 9) END AS precision, CASE WHEN actual > 0 THEN round(tp / actual, 9) END AS recall,
+  CASE WHEN actual > 0 THEN round(2 * tp / (got + actual), 9) END AS f1, CASE WHEN actual > 0 THEN actual::BIGINT END AS support FROM range(5) r(i) LEFT JOIN a ON a.c = i""")
+def q58_scores_on_all_classes(spark, sf_dir):
+    """Scores of five known classes of which some never occur."""
+    scores = evaluate.class_scores(evaluate.confusion_counts(_line_items(spark, sf_dir)))
+    classes = spark.range(5).select(F.col("id").cast("int").alias("class_id"))
+    return _rounded(evaluate.place_on_all_classes(scores, classes), "precision", "recall", "f1")
+
+
+@query("""SELECT l_returnflag AS run_id, l_linenumber AS step, l_linestatus AS phase, round(avg(l_extendedprice / l_quantity), 6) AS mean_loss FROM lineitem GROUP BY ALL""")
+def q59_loss_summary(spark, sf_dir):
+    """Prices as losses of batches of the line's quantity."""
+    losses = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run_id"), F.col("l_linenumber").alias("step"), F.col("l_linestatus").alias("phase"), F.col("l_extendedprice").alias("loss"), F.col("l_quantity").alias("batch_size"))
+    return _rounded(evaluate.loss_summary(losses), "mean_loss", digits=6)
+
+
+@query(f"WITH {_PRED}, {_CURVE}, b AS (SELECT cls, max(f1) AS f FROM curve GROUP BY cls) SELECT (SELECT cls FROM b ORDER BY f DESC, cls LIMIT 1) AS best, (SELECT cls FROM b ORDER BY f, cls LIMIT 1) AS worst")
+def q60_best_and_worst_curve(spark, sf_dir):
+    return evaluate.best_and_worst_curve(evaluate.curve_summary(_curves(spark, sf_dir)))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang || doc_id || ['', '-shift12ms', '-volume-3', '-rain_bgd0ms'][(doc_id % 4 + 1)::INT] || '.wav' AS name, (doc_id % 90) || ':' || lpad((doc_id % 60)::VARCHAR, 2, '0') AS len, source FROM documents)
+SELECT doc_id, lang_part || '.wav' AS original, CASE doc_id % 4 WHEN 1 THEN 'time_shift' WHEN 2 THEN 'volume' WHEN 3 THEN 'add_bg' END AS kind, (doc_id % 90) * 60.0 + doc_id % 60 AS seconds, source || '_xc' || doc_id AS full_name
+FROM (SELECT *, split_part(regexp_replace(name, '\\.wav$', ''), '-', 1) AS lang_part FROM d)
+""")
+def q61_names_of_augmentations(spark, sf_dir):
+    marks = F.array(*[F.lit(m) for m in ("", "-shift12ms", "-volume-3", "-rain_bgd0ms")])
+    d = table(spark, sf_dir, "documents")
+    name = F.concat("lang", F.col("doc_id").cast("string"), F.element_at(marks, (F.col("doc_id") % 4 + 1).cast("int")), F.lit(".wav"))
+    length = F.concat((F.col("doc_id") % 90).cast("string"), F.lit(":"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"))
+    return d.select("doc_id", S.original_file_name(name).alias("original"), S.augmentation_kind(name).alias("kind"), S.minutes_seconds(length).alias("seconds"), S.full_name("source", F.lit(""), "doc_id").alias("full_name"))
+
+
+@query("SELECT DISTINCT (epoch_us(ts) // 86400000000)::BIGINT AS step FROM events")
+def q62_steps(spark, sf_dir):
+    days = _days(spark, sf_dir)
+    parts = [days.where(F.col("phase") == p) for p in ("training", "validating")]
+    return ordering.steps(ordering.append_tallies(*parts))
+
+
+@query("SELECT count(DISTINCT source) AS num_species, count(*) AS num_recordings FROM documents")
+def q63_totals(spark, sf_dir):
+    return counts.totals(table(spark, sf_dir, "documents"), "source")
+
+
+@query(f"WITH {_PRED} SELECT truth, sum(n)::BIGINT AS total FROM m GROUP BY truth")
+def q64_truth_totals(spark, sf_dir):
+    return evaluate.truth_totals(evaluate.confusion_matrix(_predictions(spark, sf_dir), _classes(spark)))

@@ -237,3 +237,16 @@ def test_catalog_filters(spark):
     assert [(x.left, x.right) for x in diff.collect()] == [(2.0, 3.0)]
     t = spark.createDataFrame([(1, "a"), (3, "a"), (2, "b")], "step int, phase string")
     assert [x.step for x in filters.filter_tallies(t, phase="a", newest_first=True).collect()] == [3, 1]
+
+
+def test_orders(spark):
+    from fieldlab.operators import ordering
+
+    s = spark.createDataFrame([("10.0",), ("2.5",)], "`start_time(secs)` string")
+    assert [r[0] for r in ordering.sort_by_start_time(s).collect()] == ["2.5", "10.0"]
+    n = spark.createDataFrame([("a10",), ("a2",), ("b1",)], "s string")
+    assert [r.s for r in ordering.natural_sort(n, "s").collect()] == ["a2", "a10", "b1"]
+    assert [r.s for r in ordering.slice_by_position(n, 1, 3, ["s"]).collect()] == ["a2", "b1"]
+    a = spark.createDataFrame([(1, 2)], "step int, pred int")
+    b = spark.createDataFrame([(1, 3, "x")], "step int, pred int, note string")
+    assert ordering.append_tallies(a, b).count() == 2 and ordering.steps(ordering.append_tallies(a, b)).count() == 1
