@@ -9,13 +9,15 @@ or more; groups are the connected components.
 2. SuperMinHash: every shingle visits the slots of the signature in its own
    random order, with values that grow with the rank; ranks are taken one at a
    time and a document stops as soon as no slot can change any more.
-3. Bands of the signature put classes into buckets. In each bucket every class
-   is paired with the hub only, so a bucket's pairs grow with its size and not
-   with its square. Pairs that pass a bit sketch are verified on full sets.
-4. Links form components. Buckets that hold more than one component go round
-   again: small ones with all pairs of different components, large ones with
-   new hubs, until each pair in a bucket is in one component or was verified.
-   So nothing is lost to the hubs, and no group is ever expanded into pairs.
+3. Bands of the signature put classes into buckets. A shingle that no other
+   class in a bucket has can't be in any intersection; sets that this leaves
+   too small for any link leave their buckets, and pairs of sets that it leaves
+   too small are not formed.
+4. In each bucket every class is paired with the hub only, so pairs grow with
+   the bucket and not with its square. Pairs that pass a bit sketch are
+   verified on full sets, links form components, and buckets that hold more
+   than one component go round again until all their pairs are settled (see
+   buckets.py). No group is ever expanded into its pairs.
 
 With 32 bands of 4 slots a pair at exactly 80 % meets in no bucket with
 probability 5e-8.
@@ -34,16 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import WORD, UPPER, LOWER, Scratch, by_value, table
-from fieldlab.llm.components import components
+from fieldlab.llm.buckets import HUBS, SMALL_BUCKET, link_components, shared_buckets
+from fieldlab.llm.common import LOWER, UPPER, WORD, Scratch, by_value, table
 from fieldlab.llm.words import WordIds, mixed, windows
 
 BANDS, SLOTS = 32, 4
 THRESHOLD = 80
 #: Two low bits of each slot are kept; of 128 an 80 % pair shares 109 on average, 6 deviations below that is the cut.
 SKETCH_LEAST = 85
-SMALL_BUCKET = 64
-HUBS = 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
 S32 = np.uint64(32)
@@ -163,6 +163,39 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(work, f"node {docs.schema['id'].dataType.simpleString()}, elements binary")
 
 
+def outside(pairs: DataFrame) -> DataFrame:
+    """(node, hub, fact, elements, inside) to (band, node, fact): a band per element outside the hub's set, and one per hub with the part inside it as bound."""
+    kind = pairs.schema["node"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            for node, hub, fact, x, y in zip(*batch.columns):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                out = x[y[at] != x]
+                salt = np.uint64(xxhash.xxh3_64_intdigest(str(hub.as_py()).encode()))
+                bands = np.append(mixed(out ^ salt), salt).view(np.int64)
+                n, common = fact["n"].as_py(), fact["common"].as_py()
+                bound = np.full(len(bands), common, dtype=np.int64)
+                bound[-1] = min(common, len(x) - len(out))
+                facts = pa.StructArray.from_arrays([pa.array(np.full(len(bands), n, dtype=np.int64)), pa.array(bound)], names=["n", "common"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands), pa.repeat(node, len(bands)), facts], names=["band", "node", "fact"])
+
+    return pairs.mapInArrow(work, f"band bigint, node {kind}, fact struct<n:bigint,common:bigint>")
+
+
+def elements(sets: DataFrame) -> DataFrame:
+    """(node, elements) to one row (node, h) per element."""
+
+    def work(batches):
+        for batch in batches:
+            for node, raw in zip(batch.column(0), batch.column(1)):
+                h = np.frombuffer(raw.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(node, len(h)), pa.array(h)], names=["node", "h"])
+
+    return sets.mapInArrow(work, f"node {sets.schema['node'].dataType.simpleString()}, h bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; set a travels to set b."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
@@ -195,56 +228,43 @@ def near_duplicates(
     classes = scratch.keep(first.select("set_key", F.col("c.id").alias("node"), F.col("c.n_shingles").alias("n"), "c.bands", "c.sketch"), "classes")
     longs = bands * slots // 32
 
-    member = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node").alias("p"), "node", "n")).alias("hub")).where("size > 1")
-    member = scratch.keep(member.join(shared, "band").select("band", "size", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    member = shared_buckets(classes.select(F.explode("bands").alias("band"), "node", F.col("n").alias("fact")), scratch)
     sets = scratch.keep(full_sets(texts.join(member.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), k), "sets")
+    # of each set, the shingles that others have: what an intersection can hold at most
+    alone = elements(sets).groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    facts = member.select("node", F.col("fact").alias("n")).distinct().join(alone, "node", "left").select("node", F.struct("n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).alias("fact"))
+    able = facts.where(F.col("fact.common") * 100 >= F.col("fact.n") * threshold)
+    member = shared_buckets(member.drop("fact").join(scratch.keep(able, "facts"), "node"), scratch)
     bits = classes.select("node", "sketch")
 
-    def sized(x: str, y: str) -> Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * threshold
+    def compatible(x: Column, y: Column) -> Column:
+        return F.least(x["common"], y["common"]) * (100 + threshold) >= (x["n"] + y["n"]) * threshold
+
+    def enough(x: Column, least: Column) -> Column:
+        return x["common"] * (100 + threshold) >= (x["n"] + least) * threshold
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bits.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        return both.where(sketch_overlap(F.col("sa"), F.col("sb"), longs) >= sketch_least).select("a", "b")
-
-    def tidy(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-
-    tested = scratch.keep(tidy(member.where(sized("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b"))), "pairs")
-    links = scratch.keep(verified(likely(tested), sets, threshold), "verified")
-    found = components(links, scratch)
-
-    used = None  # hubs of large buckets that have met all others
-    turn = 0
-    while True:
-        turn += 1
-        now = member.select("band", "node", "n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        if used is not None:
-            now = now.join(used, ["band", "node"], "left_anti")
-        mixed_up = now.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "size")
-        now = scratch.keep(now.join(mixed_up, "band"), "open")
-        if now.isEmpty():
-            break
-        other = now.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        small = now.where(F.col("size") <= small_bucket).join(other, "band").where((F.col("c") < F.col("cb")) & sized("n", "nb")).select(F.col("node").alias("a"), "b")
-        large = now.where(F.col("size") > small_bucket)
-        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs))
-        hub = large.groupBy("band", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node", F.lit(-turn)).alias("p"), "node", "n", "c")).alias("h")).select("band", "h.*").drop("p")
-        hub = scratch.keep(hub, "hubs")
-        spread = large.join(hub.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "band").where((F.col("c") != F.col("cb")) & sized("n", "nb")).select(F.col("node").alias("a"), "b")
-        fresh = scratch.keep(tidy(small.unionByName(spread)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        more = scratch.keep(verified(likely(fresh), sets, threshold), "verified")
-        done = hub.select("band", "node")
-        used = done if used is None else used.unionByName(done)
-        # small buckets are settled after one turn
-        member = now.where(F.col("size") > small_bucket).select("band", "node", "n")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, scratch)
-        if hub.isEmpty():
-            break
+        return verified(both.where(sketch_overlap(F.col("sa"), F.col("sb"), longs) >= sketch_least).select("a", "b"), sets, threshold)
+
+    def beside_hub(crowded: DataFrame) -> DataFrame:
+        """Buckets of what members have besides their bucket's hub.
+
+        Two members that share nothing outside the hub's set share at most the
+        smaller of their parts inside it. So they meet by a shingle outside
+        it, or in one bucket where those parts bound what they can share.
+        """
+        rank = F.struct(first_hub(F.col("fact")).alias("first"), F.xxhash64("node", F.lit(0)).alias("p"), "node")
+        hub = crowded.groupBy("band").agg(F.min(rank)["node"].alias("hub"))
+        pairs = crowded.join(hub, "band").select("node", "hub", "fact").distinct()
+        both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("inside")), "hub")
+        return outside(both.select("node", "hub", "fact", "elements", "inside"))
+
+    def first_hub(fact: Column) -> Column:
+        return 1 - fact["common"] / fact["n"]
+
+    # hubs are the sets with the smallest part that no other has: originals rather than their edited copies
+    found = link_components(member, compatible, links, scratch, priority=first_hub, refine=beside_hub, possible=(lambda f: f["n"], enough), small_bucket=small_bucket, hubs=hubs)
 
     named = rows.join(classes.select("set_key", "node"), "set_key", "left").join(found, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
@@ -271,7 +291,7 @@ s AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(4, len(w)) AS n FROM w WHERE len(w) > 0))),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * common >= 80 * (ca.n + cb.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * common >= 80 * (ca.n + cb.n - common)),
 r(doc_id, x) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.x),
 m AS (SELECT doc_id, min(x) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
