@@ -36,6 +36,8 @@ SLACK = 1.3
 #: Texts of fewer different n-grams than this are accepted from proportionally (by root) lower cosines, as chance dominates theirs.
 FULL = 600
 UNDETERMINED = "und"
+#: Languages whose counts the driver holds at most.
+MOST_LANGUAGES = 10_000
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -154,10 +156,15 @@ def fit(
 
 def sample_of(rows: DataFrame, id_col: str, lang_col: str, per_language: int) -> DataFrame:
     """The rows of each language with the lowest hash of their id: a threshold per language from the counts, then an exact cut."""
-    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return rows.limit(0)
+    total = F.create_map(*[F.lit(x) for c in counts for x in c])
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
     # twice the rows that are needed, then the lowest of those: no language meets in one task whole
-    near = rows.join(counts, lang_col).withColumn("place", place).where(F.col("place") * F.col("n") <= 2 * per_language)
+    near = rows.withColumn("place", place).where(F.col("place") * F.element_at(total, F.col(lang_col)) <= 2 * per_language)
     from pyspark.sql import Window
 
     order = Window.partitionBy(lang_col).orderBy("place", id_col)
