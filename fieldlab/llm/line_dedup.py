@@ -39,9 +39,8 @@ def lines_of(text: Column) -> Column:
     return F.when(text.isNotNull(), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
 
 
-def probes(line: Column, edits: int, least: int) -> Column:
-    """Hashes of (indexed length, segment number, segment text): the line's own segments and the substrings that may be another line's."""
-    n = F.length(line)
+def probes(line: Column, n: Column, edits: int, least: int) -> Column:
+    """Of a line and its length, hashes of (indexed length, segment number, segment text): the line's own segments and the substrings that may be another line's; null where one doesn't fit."""
     parts = edits + 1
     out = []
     for delta in range(edits + 1):
@@ -57,7 +56,7 @@ def probes(line: Column, edits: int, least: int) -> Column:
                 at = start + shift
                 fits = (indexed >= least) & (at >= 1) & (at + length - 1 <= n)
                 out.append(F.when(fits, F.xxhash64(indexed, F.lit(i), F.substring(line, at, length))))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
 
 
 def let(value: Column, then) -> Column:
@@ -145,8 +144,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = scratch.keep(texts.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("lines", facts).alias("lines")), "rows")
 
     line = texts.select(F.explode(F.array_distinct("lines")).alias("line")).where((F.length("line") >= least) & F.rlike(F.col("line"), F.lit(r"[^\x20\x09-\x0D]")))
-    line = line.select(F.xxhash64("line").alias("node"), "line")
-    member = line.select("node", F.length("line").alias("fact"), F.explode(probes(F.col("line"), edits, least)).alias("band"))
+    line = line.select(F.xxhash64("line").alias("node"), "line", F.length("line").alias("n"))
+    member = line.select("node", F.col("n").alias("fact"), F.explode(probes(F.col("line"), F.col("n"), edits, least)).alias("band")).where("band IS NOT NULL")
     member = shared_buckets(member, scratch)
     near = line.groupBy("node").agg(F.min("line").alias("line")).join(member.select("node").distinct(), "node", "left_semi")
     near = scratch.keep(near, "texts")
