@@ -24,6 +24,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a generated key, and its column's name, which no other column has. The key holds only once the rows are kept."""
+    name = "row_key"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def by_value(module: str) -> None:
     """Task functions of the module travel inside the job, so executors need not have this package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

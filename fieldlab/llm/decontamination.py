@@ -7,7 +7,8 @@ broadcast set and every hit is verified word by word.
 
 The benchmark is broadcast only if its windows number at most
 `max_broadcast_windows`, which is counted first. Beyond that windows are
-joined by a shuffle, with the same result.
+joined by a shuffle, with the same result: of the documents' windows only those
+whose hash is in a bitmap of fixed size are shuffled.
 
 Null text has no words; an item without words has no windows. Repeated rows
 each give a row; items with the same id count as one item, an item with a null
@@ -21,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import LOWER, UPPER, by_value, table
+from fieldlab.llm.common import LOWER, UPPER, Scratch, by_value, table, with_row_key
 from fieldlab.llm.words import WordIds, windows
 
 N = 10
 MAX_BROADCAST_WINDOWS = 2_000_000
+#: Bits of the bitmap of window hashes, and of each row it is gathered in (Spark's bitmap functions).
+BITMAP_BITS = 1 << 28
+BITMAP_ROW_BITS = 1 << 15
 #: To a single byte each: lower case for A-Z, itself for 0-9, a-z and bytes of non-ASCII characters, else a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
@@ -127,27 +131,50 @@ def find_contamination(
     return rows.mapInArrow(work, f"`{id_col}` {kind}, {FOUND}")
 
 
-def _by_join(rows: DataFrame, phrases: DataFrame, kind: str, id_col: str) -> DataFrame:
-    """The same for a benchmark too large to broadcast: windows meet phrases in a shuffled join."""
-    from fieldlab.llm.common import Scratch
-
+def _windows_in(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(row, start, size, phrase): the windows of (row, text) that may be among the phrases, all that are included."""
     sizes = [r[0] for r in phrases.select("size").distinct().collect()]  # at most n values
+    mask = np.uint64(BITMAP_BITS - 1)
+
+    def places(batches):
+        ids = WordIds()
+        for batch in batches:
+            at = [int(windows(ids.of(phrase.split(b" ")), size)[0] & mask) for size, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+
+    at = phrases.select("size", "phrase").mapInArrow(places, "at bigint")
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = np.zeros((BITMAP_BITS // BITMAP_ROW_BITS + 1, BITMAP_ROW_BITS // 8), dtype=np.uint8)
+    for part, bits in parts.collect():  # BITMAP_BITS / 8 bytes at most
+        bitmap[part] = np.frombuffer(bits, dtype=np.uint8)
+    # position p is bit (p - 1) % BITMAP_ROW_BITS of row (p - 1) // BITMAP_ROW_BITS + 1, and position 0 the first bit of row 0
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def work(batches):
+        bits, ids = shared.value.reshape(-1), WordIds()
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words_of(text)
+                of = ids.of(w)
                 for size in sizes:
-                    for at in range(0, len(w) - size + 1, 10_000):
-                        span = range(at, min(at + 10_000, len(w) - size + 1))
+                    p = (windows(of, size) & mask).astype(np.int64)
+                    q = np.where(p > 0, p - 1 + BITMAP_ROW_BITS, 0)
+                    near = np.flatnonzero((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1).tolist()
+                    for a in range(0, len(near), 10_000):
+                        span = near[a : a + 10_000]
                         yield pa.RecordBatch.from_arrays([pa.array([row] * len(span), pa.int64()), pa.array(span, pa.int64()), pa.array([size] * len(span), pa.int32()), pa.array([b" ".join(w[i : i + size]) for i in span], pa.binary())], names=["row", "start", "size", "phrase"])
 
+    return rows.mapInArrow(work, "row bigint, start bigint, size int, phrase binary")
+
+
+def _by_join(rows: DataFrame, phrases: DataFrame, kind: str, id_col: str) -> DataFrame:
+    """The same for a benchmark too large to broadcast: windows meet phrases in a shuffled join."""
     def counts(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(words_of(t)) for t in batch.column(2).to_pylist()], pa.int64())], names=["row", "id", "n_words"])
 
     numbered = Scratch(rows.sparkSession, "decontamination").keep(rows.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "rows")
-    hits = numbered.select("row", "text").mapInArrow(work, "row bigint, start bigint, size int, phrase binary").join(phrases, ["size", "phrase"])
+    hits = _windows_in(numbered.select("row", "text"), phrases).join(phrases, ["size", "phrase"])
     hits = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("each"), F.sort_array(F.collect_set("item")).alias("items"))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     joined = F.aggregate(
@@ -163,14 +190,14 @@ def _by_join(rows: DataFrame, phrases: DataFrame, kind: str, id_col: str) -> Dat
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", remove: str = "documents", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """The documents with all their columns: without contaminated ones (remove="documents"), or with the hit words cut out of the text (remove="spans").
 
-    Needs a benchmark within max_broadcast_windows; for a larger one join the
-    result of find_contamination.
+    For a benchmark beyond max_broadcast_windows the documents are kept in the
+    shared folder with a generated key, and the hits are joined by it.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    shared, _ = _broadcast_phrases(benchmark, n, max_broadcast_windows, item_col, item_text_col)
+    shared, found = _broadcast_phrases(benchmark, n, max_broadcast_windows, item_col, item_text_col)
     if shared is None:
-        raise ValueError("the benchmark exceeds max_broadcast_windows; join find_contamination() instead")
+        return _decontaminate_by_join(docs, found, text_col, remove)
     at = docs.columns.index(text_col)
 
     def work(batches):
@@ -187,6 +214,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, text_col
     return docs.mapInArrow(work, docs.schema)
 
 
+def _decontaminate_by_join(docs: DataFrame, phrases: DataFrame, text_col: str, remove: str) -> DataFrame:
+    keyed, key = with_row_key(docs)
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    keyed = scratch.keep(keyed, "rows")
+    phrases = scratch.keep(phrases.select("size", "phrase").distinct(), "phrases")
+    hits = _windows_in(keyed.select(F.col(key).alias("row"), F.col(text_col).alias("text")), phrases).join(phrases, ["size", "phrase"], "left_semi")
+    if remove == "documents":
+        return keyed.join(hits.select(F.col("row").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    spans = hits.groupBy(F.col("row").alias(key)).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias(f"{key}_spans"))
+    at = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            got = [merged([(x["start"], x["end"]) for x in spans or ()]) for spans in batch.column(batch.num_columns - 1).to_pylist()]
+            clean = pa.array([cut_words(t, spans) for t, spans in zip(texts, got)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], clean, *batch.columns[at + 1 : -1]], names=batch.schema.names[:-1])
+
+    return keyed.join(spans, key, "left").select(*docs.columns, f"{key}_spans").mapInArrow(work, docs.schema)
+
+
 def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the words of the spans and what stands between them."""
     import re

@@ -56,6 +56,24 @@ def test_decontaminated_documents(spark):
     assert dc.decontaminate(docs, bench.limit(0)).count() == 3 and dc.find_contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontaminated_by_join(spark, remove, monkeypatch):
+    rng = random.Random(4)
+    words = [rng.choice("abcdé") * rng.randint(1, 2) for _ in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(words[:25])), (2, "Two Words!"), (3, "solo"), (None, " ".join(words[30:45]))], "item_id long, text string")
+    texts = [", ".join(words[a : a + 40]) for a in range(0, 260, 10)] + [None, "", "one two words, solo.", "solo " * 3000, "nothing"]
+    rows = [(rng.choice([None, 1, i]), t, "k", f"{i}") for i, t in enumerate(texts)] + [(1, "two words", "k", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, row string")
+    want = sorted(map(str, dc.decontaminate(docs, bench, remove=remove).collect()))
+    clean = [t for _, t, _, _ in rows if not brute_hits(t, [(1, " ".join(words[:25])), (2, "Two Words!"), (3, "solo"), (4, " ".join(words[30:45]))])[1]]
+    assert len(want) == (len(clean) if remove == "documents" else len(rows)) and 0 < len(clean) < len(rows)
+    got = dc.decontaminate(docs, bench, remove=remove, max_broadcast_windows=3)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == want
+    monkeypatch.setattr(dc, "BITMAP_BITS", 1 << 15)  # full of chance hits, and one row
+    assert sorted(map(str, dc.decontaminate(docs, bench, remove=remove, max_broadcast_windows=3).collect())) == want
+    assert dc.decontaminate(docs.limit(0), bench, remove=remove, max_broadcast_windows=3).count() == 0
+
+
 # ---- secrets -----------------------------------------------------------------
 def test_secrets(spark):
     key = "AKIA" + "ABCDEFGH12345678"
