@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.llm import decontamination, language_id, mixing, near_dedup, sharding
-from fieldlab.llm.common import Scratch, table
+from fieldlab.llm.common import Scratch, table, with_row_key
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, to the nearest."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("copies")).where("copies > 0")
-    repeated = docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    keyed, key = with_row_key(docs)
+    keyed = Scratch(spark, "mixing").keep(keyed, "rows")
+    copies = F.expr("(2 * taken + size) div (2 * size)").cast("int").alias(f"{key}_copies")
+    taken = mixing.mix(keyed, row_col=key).where("taken > 0").select(key, copies).where(F.col(f"{key}_copies") > 0)
+    repeated = keyed.join(taken, key).select(*docs.columns, F.explode(F.sequence(F.lit(1), f"{key}_copies")).alias(f"{key}_copy"))
     return repeated.select(*docs.columns)
 
 

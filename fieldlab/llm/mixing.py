@@ -77,17 +77,19 @@ def apportion(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shards: int = 16,
-    seed: str = SEED, bucket_digits: int = 3,
+    seed: str = SEED, bucket_digits: int = 3, row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, blocks of its source, and the shard its first block falls in.
 
     bucket_digits: hex digits of the seeded key that make the buckets within a
     source; 16 ** bucket_digits buckets are summed per source.
+    row_col: a key of the rows, unique and never null. It is added to the
+    result, as ids may be null or repeated, and orders rows of the same id and size.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), (F.col(row_col) if row_col else F.lit(0)).alias("row"))
     # a source's name as a key that is never null
     rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("bucket", F.substring("key", 1, bucket_digits))
     rows = Scratch(spark, "mix").keep(rows, "sizes")
@@ -99,7 +101,7 @@ def mix(
     quotas = apportion(targets(sources.select("source", "source_size"), weights, cap), block_words)
     quotas = quotas.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("quota", F.least(F.col("blocks") * block_words, F.col("limit")))
 
-    order = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["name", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     full = placed.join(quotas.select("name", "source_size", "target", "blocks", "quota"), "name")
     rounds = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)
@@ -108,6 +110,7 @@ def mix(
     return full.select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"),
         "blocks", F.pmod(F.expr(f"start div {block_words}"), F.lit(shards)).cast("long").alias("shard"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

@@ -227,6 +227,33 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 7, 7, i]), "w " * rng.randint(0, 90) + f"x{i}", rng.choice("aab") if i % 9 else None, i) for i in range(300)] + [(7, "same text", "a", 300)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").coalesce(1)
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        got[r.n] = got.get(r.n, 0) + 1
+    # brute force: each source's rows in the seeded order take its quota of words, round after round
+    taken = {s: (blocks, limit) for s, blocks, limit in mixing.apportion(mixing.targets(docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("source_size")))).select("source", "blocks", "limit").collect()}
+    want = {}
+    for source, (blocks, limit) in taken.items():
+        of = [(hashlib.md5(f"{mixing.SEED}:{'' if d is None else d}".encode()).hexdigest(), d or 0, len(t.split()), i, n) for i, (d, t, s, n) in enumerate(rows) if s == source]
+        left, rounds = min(blocks * mixing.BLOCK_WORDS, limit), 0
+        rounds, left = divmod(left, sum(x[2] for x in of))
+        for _, _, size, _, n in sorted(of):
+            part = min(size, left)
+            left -= part
+            copies = (2 * (rounds * size + part) + size) // (2 * size)
+            if copies:
+                want[n] = want.get(n, 0) + copies
+    assert got == want and sum(want.values()) > 200
+
+
 # ---- substring dedup -----------------------------------------------------------------
 def brute_windows(docs, n):
     seen = {}
