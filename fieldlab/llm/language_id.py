@@ -7,10 +7,12 @@ per language, the first by a hash of their id, is clustered into several
 centroids per language by spherical k-means.
 
 Prediction: a text's unit TF-IDF vector goes to the language of the centroid
-with the highest cosine, which is the score. A text whose distance
-(1 - cosine) exceeds that of all sampled training documents of its language by
-a margin, wider for short texts, is flagged as rejected; so is a text that is null or has no letter, which gets
-language `und` and score 0. Whole texts are read.
+with the highest cosine, which is the score. For rejection, cosines are
+divided by what the text's length lets them reach, in fitting as in prediction.
+A text whose distance (1 - that) exceeds, by a margin, what all but a low
+quantile of the sampled training documents of its language have is flagged as
+rejected; so is a text that is null or has no letter, which gets language `und`
+and score 0. Whole texts are read.
 
 Repeated rows each give a row. Training rows without a language or a letter
 are not used; without any training rows every text is `und`. An empty table
@@ -31,9 +33,10 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 8
-#: A language rejects what lies further away than all of its sample and this much more.
+#: A language rejects what lies further away than all but this share of its sample, and this much more.
+LOW = 0.01
 SLACK = 1.3
-#: Texts of fewer different n-grams than this are accepted from proportionally (by root) lower cosines, as chance dominates theirs.
+#: Cosines of texts of fewer different n-grams than this are proportionally (by root) lower, as chance dominates theirs.
 FULL = 600
 UNDETERMINED = "und"
 #: Languages whose counts the driver holds at most.
@@ -80,11 +83,20 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (v / (np.linalg.norm(v, axis=-1, keepdims=True) + 1e-12)).astype(np.float32)
 
 
+def reach(vectors: np.ndarray) -> np.ndarray:
+    """What cosines are divided by for a text's length: 1 from FULL different n-grams on."""
+    return np.minimum(1.0, np.maximum(1, np.count_nonzero(vectors, axis=-1)) / FULL) ** 0.5
+
+
 def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means that starts from the mean and then from the vectors furthest from all centres so far."""
+    """Spherical k-means that starts from the mean and then from vectors drawn, by a fixed seed, by their distance from all centres so far."""
+    rng = np.random.default_rng(0)
     centres = [vectors.mean(axis=0) / (np.linalg.norm(vectors.mean(axis=0)) + 1e-12)]
     while len(centres) < min(k, len(vectors)):
-        centres.append(vectors[np.argmin((vectors @ np.array(centres).T).max(axis=1))])
+        far = np.maximum(0.0, 1.0 - (vectors @ np.array(centres).T).max(axis=1).astype(np.float64))
+        if far.sum() < 1e-6:
+            break
+        centres.append(vectors[rng.choice(len(vectors), p=far / far.sum())])
     centres = np.array(centres, dtype=np.float32)
     for _ in range(rounds):
         own = (vectors @ centres.T).argmax(axis=1)
@@ -96,7 +108,7 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 class Model:
-    """idf, centroids, the language of each and the lowest cosine it accepts."""
+    """idf, centroids, the language of each and the lowest cosine, divided by reach(), that it accepts."""
 
     def __init__(self, idf, centres, languages, least):
         self.idf, self.centres, self.languages, self.least = idf, centres, languages, least
@@ -106,11 +118,11 @@ class Model:
         counts = counts_of(text, len(self.idf))
         if counts is None or not len(self.centres):
             return UNDETERMINED, 0.0, True
-        cosines = self.centres @ unit(counts, self.idf)
+        vector = unit(counts, self.idf)
+        cosines = self.centres @ vector
         best = int(cosines.argmax())
         score = float(min(1.0, max(0.0, cosines[best])))
-        enough = min(1.0, float(np.count_nonzero(counts)) / FULL) ** 0.5
-        return self.languages[best], score, score < self.least[self.languages[best]] * enough
+        return self.languages[best], score, score < self.least[self.languages[best]] * float(reach(vector))
 
 
 def fit(
@@ -150,7 +162,7 @@ def fit(
         own = cluster(v, centroids)
         centres.append(own)
         languages += [lang] * len(own)
-        least[lang] = 1.0 - slack * (1.0 - float((v @ own.T).max(axis=1).min()))
+        least[lang] = 1.0 - slack * (1.0 - float(np.quantile(np.minimum(1.0, (v @ own.T).max(axis=1) / reach(v)), LOW)))
     return Model(idf, np.concatenate(centres) if centres else np.empty((0, dimensions), np.float32), languages, least)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,29 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_language_rejects(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    rng = random.Random(5)
+    gibberish = lambda chars, n: " ".join("".join(rng.choice(chars) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    foreign = [
+        finnish, finnish * 20, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由在尊严和权利上一律平等",
+    ]
+    foreign += [gibberish(chars, n) for chars in ("bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz") for n in (5, 20, 400, 3000)]
+    assert [t[:40] for t in foreign if not model.predict(t)[2]] == []
+    texts = [r.text for r in docs.where(language_id.held_out() & F.col("text").isNotNull()).collect()]
+    short = [" ".join(t.split()[:n]) for t in texts if len(t.split()) > 20 for n in (5, 8, 12)]
+    assert len(short) > 200 and sum(model.predict(t)[2] for t in short) < 0.05 * len(short)
+
+
+def test_equal_vectors_make_one_centroid():
+    v = np.tile(language_id.unit(np.arange(8), np.ones(8)), (5, 1))
+    assert np.isfinite(language_id.cluster(v, 4)).all() and len(language_id.cluster(v, 4)) == 1
+
+
 # ---- line dedup ------------------------------------------------------------------
 def edit(a, b):
     row = list(range(len(b) + 1))
