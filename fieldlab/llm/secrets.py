@@ -2,9 +2,10 @@
 
 A vocabulary learnt from prose spends few tokens on words and many on random
 strings. Runs of key characters whose characters-per-token ratio under a
-tiktoken vocabulary is low are reported, unless they are known digests (hex of
-a digest's length) or identifiers (UUIDs, numbers, words joined by dashes or
-underscores), or overlap a span that a fixed pattern found.
+tiktoken vocabulary is low are reported, letters alone and joined groups as
+well, unless they are of a known form (hex of a digest's length, UUIDs, plain
+numbers, dates), are joined words that the vocabulary has each as one token, or
+overlap a span that a fixed pattern found.
 
 Null counts as empty text. Offsets are code points, ends exclusive; the
 span of an assignment is the whole match. Repeated rows each give a row; an
@@ -35,7 +36,15 @@ MAX_RATIO = 2.2
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_CHARS)
 DIGEST = re.compile(r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})\Z")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-NAME = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+]+(?:[A-Za-z]+|[0-9]+))*[-_/+=]*\Z")
+NUMBER = re.compile(r"[0-9]+=*\Z")
+_DAY = r"(?:19|20)[0-9]{2}[-/_]?(?:0[1-9]|1[0-2])[-/_]?(?:0[1-9]|[12][0-9]|3[01])"
+_TIME = r"(?:[01][0-9]|2[0-3])[-_]?[0-5][0-9](?:[-_]?[0-5][0-9])?"
+DATES = re.compile(rf"{_DAY}(?:[-/_+T]+(?:{_DAY}|{_TIME}))*[-/_+Z]*\Z")
+WORDS = re.compile(r"[-_/+]*[A-Za-z]+(?:[-_/+]+[A-Za-z]+)+[-_/+=]*\Z")
+#: Joined words are of so many letters at least, on average: shorter groups are mostly tokens by chance.
+WORD_CHARS = 3
+#: Runs are encoded in pieces of so many characters.
+PIECE = 10_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -51,16 +60,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def joined_words(run: str, encode) -> bool:
+    """Whether the run is letter groups joined by separators, each one token of the vocabulary, as a word's start or after a space."""
+    if not WORDS.match(run):
+        return False
+    groups = re.findall("[A-Za-z]+", run)
+    return sum(map(len, groups)) >= WORD_CHARS * len(groups) and all(any(len(encode(x)) == 1 for x in (g, f" {g}", g.lower(), f" {g.lower()}")) for g in groups)
+
+
 def inefficient_spans(text: str, encode, taken: list[tuple[str, int, int]], max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
-    """Runs of key characters, letters and digits mixed, that the vocabulary spends a token on every few characters for."""
+    """Runs of key characters that the vocabulary spends a token on every few characters for."""
     out = []
     if max(map(len, text.split()), default=0) < MIN_CHARS:
         return out
     for m in RUN.finditer(text):
         run = m[0]
-        if NAME.match(run) or DIGEST.match(run) or UUID.match(run) or any(a < m.end() and m.start() < b for _, a, b in taken):
+        if NUMBER.match(run) or DATES.match(run) or DIGEST.match(run) or UUID.match(run) or any(a < m.end() and m.start() < b for _, a, b in taken):
             continue
-        if len(run) <= max_ratio * len(encode(run)):
+        if len(run) <= max_ratio * sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE)) and not joined_words(run, encode):
             out.append(("random", m.start(), m.end()))
     return out
 

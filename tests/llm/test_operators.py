@@ -95,6 +95,19 @@ def test_secrets(spark):
         assert [(a, k, b) for k, a, b in secrets.base_spans(t)] == sorted(want, key=lambda s: (s[0], order(s[1])))
 
 
+def test_random_keys_of_letters_and_groups(spark):
+    rng = random.Random(6)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = [draw(chars, n) for n in (24, 32, 40) for chars in (low, low.upper(), low + low.upper()) for _ in range(5)]
+    keys += ["ABCDE-48213-QWZPK-99172", "48213-99172-10293-48817"] + ["-".join(draw(rng.choice((low.upper(), digit)), 5) for _ in range(3)) + "-" + draw(low.upper(), 5) for _ in range(10)]
+    fine = ["some_long_identifier_name_here", "configurationManagerFactory", "MAX_BROADCAST_WINDOWS", "MIN_CHARS_PER_TOKEN_RATIO", "ERR_INVALID_ARG_TYPE_OF_X", "src/main/java/org/apache", "IllegalArgumentException", "anticonstitutionnellement", "Rechtsschutzversicherungsgesellschaften", "UNCHARACTERISTICALLY", "2024-01-01/2024-02-01", "20240101-123000-20240102", "12345678901234567890123", "-" * 40, "a" * 1_000_000]
+    found = secrets.secret_spans(frame(spark, [(i, f"see {t} there") for i, t in enumerate(keys + fine)])).collect()
+    missed = [keys[r.doc_id] for r in found if r.doc_id < len(keys) and [tuple(s) for s in r.spans] != [("random", 4, 4 + len(keys[r.doc_id]))]]
+    assert missed == []
+    assert [fine[r.doc_id - len(keys)][:60] for r in found if r.doc_id >= len(keys) and any(s.kind == "random" for s in r.spans)] == []
+
+
 # ---- language ------------------------------------------------------------------
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
