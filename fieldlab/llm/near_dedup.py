@@ -19,7 +19,7 @@ or more; groups are the connected components.
    than one component go round again until all their pairs are settled (see
    buckets.py). No group is ever expanded into its pairs.
 
-With 32 bands of 4 slots a pair at exactly 80 % meets in no bucket with
+With 32 bands of 4 slots, which are chosen for that threshold, a pair at exactly 80 % meets in no bucket with
 probability 5e-8.
 
 Null or wordless texts have an empty set, are linked with nothing and are
@@ -40,10 +40,12 @@ from fieldlab.llm.buckets import HUBS, SMALL_BUCKET, link_components, shared_buc
 from fieldlab.llm.common import LOWER, UPPER, WORD, Scratch, by_value, table
 from fieldlab.llm.words import WordIds, mixed, windows
 
-BANDS, SLOTS = 32, 4
 THRESHOLD = 80
-#: Two low bits of each slot are kept; of 128 an 80 % pair shares 109 on average, 6 deviations below that is the cut.
-SKETCH_LEAST = 85
+#: Slots of a signature, and the most of pairs at the threshold that may meet in no band, where slots a band are chosen.
+SIGNATURE = 128
+MISSED = 1e-6
+#: The cut on sketches lies so many deviations below what a pair at the threshold shares.
+DEVIATIONS = 5.85
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
 S32 = np.uint64(32)
@@ -112,6 +114,20 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << shifts, axis=2).view(np.int64)
 
 
+def layout(threshold: int) -> tuple[int, int]:
+    """(bands, slots): the longest bands with which pairs at the threshold are missed with probability MISSED at most, else single slots."""
+    for slots in (8, 4, 2):
+        if (1 - (threshold / 100) ** slots) ** (SIGNATURE // slots) <= MISSED:
+            return SIGNATURE // slots, slots
+    return SIGNATURE, 1
+
+
+def sketch_cut(threshold: int, n: int) -> int:
+    """Of n slots, the two low bits that sets at the threshold share at least: equal slots, and a quarter of the others by chance."""
+    p = threshold / 100 + (1 - threshold / 100) / 4
+    return max(0, int(n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5))
+
+
 def sketch_overlap(a: Column, b: Column, longs: int) -> Column:
     """Slots whose two bits agree."""
     total = F.lit(0)
@@ -216,9 +232,19 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = THRESHOLD,
-    bands: int = BANDS, slots: int = SLOTS, sketch_least: int = SKETCH_LEAST, small_bucket: int = SMALL_BUCKET, hubs: int = HUBS,
+    bands: int | None = None, slots: int | None = None, sketch_least: int | None = None, small_bucket: int = SMALL_BUCKET, hubs: int = HUBS,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable), kept."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept.
+
+    bands, slots and sketch_least follow from the threshold where they are not
+    given; bands * slots is a multiple of 32.
+    """
+    if bands is None or slots is None:
+        of = layout(threshold)
+        bands, slots = (of if bands is slots is None else (bands, SIGNATURE // bands) if bands else (SIGNATURE // slots, slots))
+    if bands * slots % 32:
+        raise ValueError("bands * slots is a multiple of 32")
+    sketch_least = sketch_cut(threshold, bands * slots) if sketch_least is None else sketch_least
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = scratch.keep(signatures(texts, k, bands, slots), "signatures")

@@ -58,6 +58,18 @@ def test_components_equal_brute_force(spark, seed, k, small, hubs):
     assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got), [(r.doc_id, r.component_id, want[r.doc_id]) for r in got if r.component_id != want[r.doc_id]][:5]
 
 
+@pytest.mark.parametrize("options", [{"threshold": 60}, {"bands": 16, "slots": 4}, {"threshold": 30}])
+def test_cuts_follow_threshold_and_slots(spark, options):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(df, k=4, **options).collect()}
+    assert got == brute(rows, 4, options.get("threshold", 80))
+
+
+def test_defaults_of_the_queries():
+    assert nd.layout(80) == (32, 4) and nd.sketch_cut(80, 128) == 85
+
+
 def rows_text(seed):
     return corpus(seed)[1][1]
 
