@@ -5,9 +5,10 @@ components; buckets that still hold more than one component go round again:
 
 - members that can't be linked with any other of their bucket leave it;
 - small buckets get all pairs of different components;
-- members of large ones are dealt to finer buckets, if the caller knows any;
-- in what is large even then, members outside the largest component become
-  hubs, a number at a time;
+- members of large ones are dealt to finer buckets, if the caller knows any,
+  and those of finer ones that are still large to finer ones again;
+- in what is large after some such levels, members outside the largest
+  component become hubs, a number at a time;
 
 until each pair in a bucket is in one component or was verified. No link
 between components is lost, and pairs within a component are never formed.
@@ -25,6 +26,7 @@ from fieldlab.llm.components import components
 
 SMALL_BUCKET = 64
 HUBS = 128
+LEVELS = 3
 
 
 def shared_buckets(member: DataFrame, scratch: Scratch) -> DataFrame:
@@ -39,8 +41,9 @@ def _tidy(pairs: DataFrame) -> DataFrame:
 
 def link_components(
     member: DataFrame, compatible: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, *,
-    priority: Callable[[Column], Column] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None,
+    priority: Callable[[Column], Column] | None = None, refine: Callable[[DataFrame, int], DataFrame] | None = None,
     possible: tuple[Callable[[Column], Column], Callable[[Column, Column], Column]] | None = None, small_bucket: int = SMALL_BUCKET, hubs: int = HUBS,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """(node, component) of the nodes of `member` (band, node, fact) that have links.
 
@@ -51,7 +54,8 @@ def link_components(
     measure is the given one or more); members that can't be linked with any
     other of their bucket leave it.
     refine: of the members (band, node, fact) of large buckets that are still
-    open, finer buckets in which any two that can be linked still meet.
+    open, finer buckets in which any two that can be linked still meet; it is
+    given the level, from 1 to `levels`.
     """
 
     def hub_of(turn: int) -> Column:
@@ -80,9 +84,9 @@ def link_components(
         other = now.select("band", F.col("node").alias("b"), F.col("fact").alias("fb"), F.col("c").alias("cb"))
         small = now.where(F.col("size") <= small_bucket).join(other, "band").where((F.col("c") < F.col("cb")) & compatible(F.col("fact"), F.col("fb"))).select(F.col("node").alias("a"), "b")
         large = now.where(F.col("size") > small_bucket)
-        if refine is not None:
-            finer = shared_buckets(refine(large.select("band", "node", "fact")), scratch)
-            refine, large = None, large.limit(0)
+        if refine is not None and turn <= levels:
+            finer = shared_buckets(refine(large.select("band", "node", "fact"), turn), scratch)
+            large = large.limit(0)
         else:
             finer = None
         salt = F.pmod(F.xxhash64("node", F.lit(-turn)), F.lit(hubs)).alias("salt")
@@ -99,8 +103,8 @@ def link_components(
         more = scratch.keep(verified(fresh), "verified")
         tested = tested.unionByName(fresh)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, scratch)
+            # what is known so far goes on as one link per node
+            found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
         if finer is not None:
             member = finer
             continue

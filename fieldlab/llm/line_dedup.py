@@ -5,19 +5,25 @@ most `edits`; equal lines are linked at any length. Of each connected group of
 lines the first occurrence, by document id and line number, stays and all
 others are removed. Blank lines always stay.
 
-A line of length l is split into edits + 1 segments; a line within `edits` of
-it, not shorter, has one of them unchanged at a place that the two lengths
-allow. So each line puts the hashes of its own segments into an index and
-probes it, for each length it may meet, with the few substrings that can be
-such a segment. Lines that share a hash are verified by edit distance: common
-ends are cut off and the rest goes through bit vectors of the band of
-2 * edits + 1 diagonals, one step per character. Crowded buckets are first
-split by the lines' distances from a few of them, which the triangle
-inequality allows.
-
-Lines are carried as 64-bit and 128-bit hashes; their text is shuffled once, to
-be verified. Null text has no lines. Repeated rows repeat their lines; rows
-that tie on the id are ordered as they are read. An empty table gives no rows.
+1. Lines of that length become a table of distinct lines, each with a number.
+2. A line of length l is split into edits + 1 segments; a line within `edits`
+   of it, not shorter, has one of them unchanged at a place that the two lengths
+   allow. So each line puts the hashes of its own segments into an index and
+   probes it, for each length it may meet, with the few substrings that can be
+   such a segment. Index and probes meet in one shuffle of (hash, number).
+3. Only lines of a bucket that has an index entry and another line go on, with
+   their text and how often they have each letter: an edit changes those counts
+   by two at most, so most pairs need no more than a look at the counts.
+4. The others are verified by edit distance: common ends are cut off and the
+   rest goes through bit vectors of the band of 2 * edits + 1 diagonals, one
+   step per character.
+5. Crowded buckets are split by those counts: of 2 * edits + 1 groups of
+   letters at least one has the same counts in lines that are linked.
+
+Null text has no lines. Lines are told apart by their text, then by number and
+MD5. Very long lines take time in proportion to their length. Repeated rows
+repeat their lines; rows that tie on the id are ordered as they are read. An
+empty table gives no rows. Other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -30,33 +36,49 @@ from fieldlab.llm.common import Scratch, table
 
 EDITS = 2
 LEAST = 20
-#: Buckets of more lines are split by distance from so many of their lines.
-CROWD = 16
-PIVOTS = 3
+#: Buckets of more lines are split by the counts of groups of these characters.
+CROWD = 256
+COUNTED = "etaoinsrhldcumfpgwybvkxjqz "
+#: Lines in shared buckets that are looked up by a broadcast; more are looked up by a shuffled join.
+MOST_BROADCAST = 5_000_000
 
 
 def lines_of(text: Column) -> Column:
     return F.when(text.isNotNull(), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
 
 
-def probes(line: Column, n: Column, edits: int, least: int) -> Column:
-    """Of a line and its length, hashes of (indexed length, segment number, segment text): the line's own segments and the substrings that may be another line's; null where one doesn't fit."""
+def places(edits: int) -> list[tuple[int, int, int]]:
+    """(indexed length below the line's own, segment, shift): the line's own segments (0, i, 0) and the substrings that may be another line's."""
     parts = edits + 1
-    out = []
+    out = {(0, i, 0) for i in range(1, parts + 1)}
     for delta in range(edits + 1):
-        indexed = n - delta
-        base = F.floor(indexed / parts).cast("int")
-        short = parts - F.pmod(indexed, F.lit(parts))  # the first so many segments have `base` characters, the others one more
         for i in range(1, parts + 1):
-            start = (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1
-            length = base + (F.lit(i) > short).cast("int")
-            lo = max(-(i - 1), delta - (parts - i))
-            hi = min(i - 1, delta + (parts - i))
-            for shift in sorted({*range(lo, hi + 1)} | ({0} if delta == 0 else set())):
-                at = start + shift
-                fits = (indexed >= least) & (at >= 1) & (at + length - 1 <= n)
-                out.append(F.when(fits, F.xxhash64(indexed, F.lit(i), F.substring(line, at, length))))
-    return F.array(*out)
+            out |= {(delta, i, s) for s in range(max(1 - i, delta - parts + i), min(i - 1, delta + parts - i) + 1)}
+    return sorted(out)
+
+
+def probes(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(node, n, line) to (band, node, own): a row per hash of (indexed length, segment number, segment text); own are the index entries."""
+    parts = F.lit(edits + 1)
+    each = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places(edits)])
+    p = lines.select("node", "n", "line", F.explode(each).alias("p")).select("node", "n", "line", "p.*").withColumn("m", F.col("n") - F.col("d"))
+    p = p.withColumn("base", F.expr(f"m div {edits + 1}").cast("int")).withColumn("short", parts - F.pmod("m", parts))  # the first so many segments have `base` characters, the others one more
+    p = p.withColumn("at", (F.col("i") - 1) * F.col("base") + F.greatest(F.lit(0), F.col("i") - 1 - F.col("short")) + 1 + F.col("s"))
+    p = p.withColumn("len", F.col("base") + (F.col("i") > F.col("short")).cast("int"))
+    p = p.where((F.col("m") >= least) & (F.col("at") >= 1) & (F.col("at") + F.col("len") - 1 <= F.col("n")))
+    return p.select(F.xxhash64("m", "i", F.substring("line", F.col("at"), F.col("len"))).alias("band"), "node", ((F.col("d") == 0) & (F.col("s") == 0)).alias("own"))
+
+
+def counts(line: Column) -> Column:
+    return F.array(*[(F.length(line) - F.length(F.translate(line, c, ""))).cast("int") for c in COUNTED])
+
+
+def by_counts(crowded: DataFrame, level: int, edits: int) -> DataFrame:
+    """Of (band, node, fact) finer buckets, one per group of characters: an edit changes the counts of two groups at most. Levels group differently."""
+    groups = 2 * edits + 1
+    of = [(i + (level - 1) * (i // groups)) % groups for i in range(len(COUNTED))]
+    keys = [F.xxhash64("band", F.lit(g), *[F.col("fact.counts")[i] for i in range(len(COUNTED)) if of[i] == g]) for g in range(groups)]
+    return crowded.select(F.explode(F.array(*keys)).alias("band"), "node", "fact")
 
 
 def let(value: Column, then) -> Column:
@@ -64,11 +86,14 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def common_start(x: Column, y: Column, step: int = 8) -> Column:
-    """A number of characters, a multiple of `step`, that both surely start with."""
+def common_start(x: Column, y: Column) -> Column:
+    """How many characters both start with, by halving steps."""
     most = F.least(F.length(x), F.length(y))
-    same = F.transform(F.sequence(F.lit(0), most, F.lit(step)), lambda k: F.when(F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k), k).otherwise(0))
-    return F.array_max(same)
+
+    def longer(k: Column, step: Column) -> Column:
+        return F.when(k + step > most, k).when(F.substring(x, F.lit(1), k + step) == F.substring(y, F.lit(1), k + step), k + step).otherwise(k)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(29, -1, -1)]), F.lit(0), longer)
 
 
 def trimmed(p: Column) -> Column:
@@ -134,53 +159,60 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
     return whole
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """One row per document: id, n_lines, n_removed, removed (line numbers from 0), kept_sha256 (of the kept lines' MD5s, comma-joined)."""
-    if not 0 < edits < 30 or least <= edits:
-        raise ValueError("1 to 29 edits, and lines longer than that")
-    scratch = Scratch(docs.sparkSession, "lines")
-    texts = docs.select(F.col(id_col).alias("id"), lines_of(F.col(text_col)).alias("lines"))
-    facts = lambda l: F.struct(F.xxhash64(l).alias("node"), F.unhex(F.md5(l)).alias("same"), F.rlike(l, F.lit(r"[^\x20\x09-\x0D]")).alias("filled"))
-    rows = scratch.keep(texts.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("lines", facts).alias("lines")), "rows")
+def line_components(docs: DataFrame, scratch: Scratch, text_col: str, edits: int, least: int, crowd: int = CROWD, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(same, component): the MD5 of each line that is linked with other lines, and its component."""
+    line = docs.select(F.explode(F.array_distinct(lines_of(F.col(text_col)))).alias("line")).where((F.length("line") >= least) & F.rlike(F.col("line"), F.lit(r"[^\x20\x09-\x0D]"))).distinct()
+    line = scratch.keep(line.select(F.monotonically_increasing_id().alias("node"), F.length("line").alias("n"), "line"), "distinct")
+
+    # both uses of the shuffled rows read the same shuffle
+    member = probes(line, edits, least).repartition("band")
+    many = member.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("own").alias("index")).where("index AND lo <> hi").select("band")
+    member = scratch.keep(member.join(many.hint("shuffle_hash"), "band").groupBy("band", "node").agg(F.max("own").alias("own")), "buckets")
 
-    line = texts.select(F.explode(F.array_distinct("lines")).alias("line")).where((F.length("line") >= least) & F.rlike(F.col("line"), F.lit(r"[^\x20\x09-\x0D]")))
-    line = line.select(F.xxhash64("line").alias("node"), "line", F.length("line").alias("n"))
-    member = line.select("node", F.col("n").alias("fact"), F.explode(probes(F.col("line"), F.col("n"), edits, least)).alias("band")).where("band IS NOT NULL")
-    member = shared_buckets(member, scratch)
-    near = line.groupBy("node").agg(F.min("line").alias("line")).join(member.select("node").distinct(), "node", "left_semi")
-    near = scratch.keep(near, "texts")
+    nodes = scratch.keep(member.select("node").distinct(), "nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= most_broadcast else nodes
+    near = scratch.keep(line.join(nodes, "node").select("node", "n", "line", F.unhex(F.md5("line")).alias("same"), counts(F.col("line")).alias("counts")), "near")
+    member = scratch.keep(member.join(near.select("node", "n", "counts"), "node").select("band", "node", F.struct("own", "n", "counts").alias("fact")), "members")
 
     def compatible(x: Column, y: Column) -> Column:
-        return F.abs(x - y) <= edits
+        differ = F.aggregate(F.zip_with(x["counts"], y["counts"], lambda a, b: F.abs(a - b)), F.lit(0), lambda total, d: total + d)
+        return (x["own"] | y["own"]) & (F.abs(x["n"] - y["n"]) <= edits) & (differ <= 2 * edits)
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(near.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         return both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
-    def cells(crowded: DataFrame) -> DataFrame:
-        """Buckets by distance from three lines of the old one: lines within `edits` of each other are as near to any third, give or take `edits`."""
-        names = [f"p{i}" for i in range(PIVOTS)]
-        pivots = crowded.groupBy("band").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("p"), "node"))["node"].alias(n) for i, n in enumerate(names)])
-        out = crowded.join(near, "node").join(pivots, "band")
-        for n in names:
-            out = out.join(near.select(F.col("node").alias(n), F.col("line").alias(f"{n}_line")), n)
-            away = F.levenshtein("line", f"{n}_line")
-            out = out.withColumn(n, F.array_distinct(F.array(F.floor(away / (edits + 1)), F.floor((away + edits) / (edits + 1))))).drop(f"{n}_line")
-        for n in names:
-            out = out.withColumn(n, F.explode(n))
-        return out.select(F.xxhash64("band", *names).alias("band"), "node", "fact")
-
-    found = link_components(member, compatible, verified, scratch, refine=cells, small_bucket=CROWD)
-    place = rows.select("row", "id", F.posexplode("lines").alias("pos", "l")).select("row", "id", "pos", "l.*")
-    # a linked line belongs to its component, any other to its equals
-    place = place.join(found, "node", "left").withColumn("group", F.struct("component", F.when(F.col("component").isNull(), F.col("same")).alias("same")))
-    first = place.where("filled").groupBy("group").agg(F.min(F.struct("id", "row", "pos")).alias("first"))
-    marked = place.join(first, "group", "left").withColumn("gone", F.col("filled") & ((F.col("first.row") != F.col("row")) | (F.col("first.pos") != F.col("pos"))))
-    each = marked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "gone", "same"))).alias("each"))
-    out = rows.select("row", "id").join(each, "row", "left").withColumn("each", F.coalesce("each", F.expr("cast(array() as array<struct<pos:int,gone:boolean,same:binary>>)")))
-    gone = F.transform(F.filter("each", lambda x: x["gone"]), lambda x: x["pos"])
-    kept = F.array_join(F.transform(F.filter("each", lambda x: ~x["gone"]), lambda x: F.lower(F.hex(x["same"]))), ",")
-    return out.select(F.col("id").alias(id_col), F.size("each").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    def index_first(fact: Column) -> Column:
+        return F.when(fact["own"], 0).otherwise(1)
+
+    found = link_components(member, compatible, verified, scratch, priority=index_first, refine=lambda crowded, level: by_counts(crowded, level, edits), small_bucket=crowd)
+    return found.join(near.select("node", "same"), "node").select("same", "component")
+
+
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+    """One row per document: id, n_lines, n_removed, removed (line numbers from 0), kept_sha256 (of the kept lines' MD5s, comma-joined)."""
+    if not 0 < edits < 30 or least <= edits:
+        raise ValueError("1 to 29 edits, and lines longer than that")
+    scratch = Scratch(docs.sparkSession, "lines")
+    facts = lambda l: F.struct(F.unhex(F.md5(l)).alias("same"), F.rlike(l, F.lit(r"[^\x20\x09-\x0D]")).alias("filled"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.transform(lines_of(F.col(text_col)), facts).alias("lines"))
+    rows = scratch.keep(rows, "rows")
+    found = scratch.keep(line_components(docs.select(text_col), scratch, text_col, edits, least, crowd), "found")
+
+    place = rows.select("row", "id", F.posexplode("lines").alias("pos", "l")).where("l.filled").select("row", "id", "pos", "l.same")
+    # of each different line, where it first occurs; linked lines have the first place of their component
+    line = place.groupBy("same").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
+    line = scratch.keep(line.join(found, "same", "left").where("times > 1 OR component IS NOT NULL"), "repeated")
+    of = line.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("of"))
+    first = F.coalesce("of", "first")
+    line = line.join(of, "component", "left").select("same", first["row"].alias("row_"), first["pos"].alias("pos_"))
+    again = place.join(line, "same").where("row <> row_ OR pos <> pos_")
+    gone = again.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
+
+    out = rows.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.greatest(F.size("lines"), F.lit(1)) - 1), "removed")
+    kept = F.transform(F.filter(kept, lambda i: i < F.size("lines")), lambda i: F.lower(F.hex(F.get("lines", i)["same"])))
+    return out.select(F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.array_join(kept, ","), 256).alias("kept_sha256"))
 
 
 def without_lines(text: Column, removed: Column) -> Column:

@@ -273,14 +273,14 @@ def near_duplicates(
         both = pairs.join(bits.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
         return verified(both.where(sketch_overlap(F.col("sa"), F.col("sb"), longs) >= sketch_least).select("a", "b"), sets, threshold)
 
-    def beside_hub(crowded: DataFrame) -> DataFrame:
+    def beside_hub(crowded: DataFrame, level: int) -> DataFrame:
         """Buckets of what members have besides their bucket's hub.
 
         Two members that share nothing outside the hub's set share at most the
         smaller of their parts inside it. So they meet by a shingle outside
         it, or in one bucket where those parts bound what they can share.
         """
-        rank = F.struct(first_hub(F.col("fact")).alias("first"), F.xxhash64("node", F.lit(0)).alias("p"), "node")
+        rank = F.struct(first_hub(F.col("fact")).alias("first"), F.xxhash64("node", F.lit(level - 1)).alias("p"), "node")
         hub = crowded.groupBy("band").agg(F.min(rank)["node"].alias("hub"))
         pairs = crowded.join(hub, "band").select("node", "hub", "fact").distinct()
         both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("inside")), "hub")
