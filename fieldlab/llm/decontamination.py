@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlab.llm.common import LOWER, UPPER, Scratch, by_value, table, with_row_key
-from fieldlab.llm.words import WordIds, windows
+from fieldlab.llm.words import Words, chunks, windows, words_in
 
 N = 10
 MAX_BROADCAST_WINDOWS = 2_000_000
@@ -32,6 +32,7 @@ BITMAP_BITS = 1 << 28
 BITMAP_ROW_BITS = 1 << 15
 #: To a single byte each: lower case for A-Z, itself for 0-9, a-z and bytes of non-ASCII characters, else a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+TABLE = np.frombuffer(NORMAL, dtype=np.uint8)
 FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -67,16 +68,19 @@ def item_windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text
     return benchmark.select(F.col(id_col).cast("string"), text_col).mapInArrow(work, "size int, phrase binary, item string").distinct()
 
 
+def phrase_hashes(phrases: list[bytes], size: int) -> np.ndarray:
+    """The window hashes of phrases of that many words."""
+    return windows(words_in([p + b" " for p in phrases], TABLE).ids, size)[::size]
+
+
 class Matcher:
-    """Looks up a document's windows in a set of phrases."""
+    """Looks up documents' windows in a set of phrases."""
 
     def __init__(self, phrases: dict[int, dict[bytes, tuple[str, ...]]]):
-        self.ids = WordIds()
         self.sets = {}
         for size, of in phrases.items():
             keys: dict[int, list] = {}
-            for phrase, items in of.items():
-                h = int(windows(self.ids.of(phrase.split(b" ")), size)[0])
+            for h, (phrase, items) in zip(phrase_hashes(list(of), size).tolist(), of.items()):
                 keys.setdefault(h, []).append((phrase, items))
             bits = max(16, int(len(keys) * 16).bit_length())
             mask = np.uint64((1 << bits) - 1)
@@ -84,18 +88,26 @@ class Matcher:
             seen[np.array(list(keys), dtype=np.uint64) & mask] = True
             self.sets[size] = (seen, mask, keys)
 
-    def find(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
-        w = words_of(text)
-        ids = self.ids.of(w)
-        spans, items = [], set()
-        for size, (seen, mask, keys) in self.sets.items():
-            h = windows(ids, size)
-            for i in np.flatnonzero(seen[h & mask]).tolist():
-                for phrase, of in keys.get(int(h[i]), ()):
-                    if phrase == b" ".join(w[i : i + size]):
-                        spans.append((i, i + size))
-                        items.update(of)
-        return len(w), merged(spans), sorted(items)
+    def find(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        """Of each text the number of words, the spans of hit words and the items."""
+        out = []
+        for start, end, raw, offsets in chunks(texts):
+            words = Words(raw, offsets, TABLE)
+            spans: list[list] = [[] for _ in range(start, end)]
+            items: list[set] = [set() for _ in range(start, end)]
+            for size, (seen, mask, keys) in self.sets.items():
+                h = windows(words.ids, size)
+                near = np.flatnonzero(seen[h & mask])
+                docs = np.searchsorted(words.first, near, side="right") - 1
+                whole = near + size <= words.first[docs + 1]
+                for i, d in zip(near[whole].tolist(), docs[whole].tolist()):
+                    for phrase, of in keys.get(int(h[i]), ()):
+                        if phrase == words.phrase(i, i + size):
+                            a = i - int(words.first[d])
+                            spans[d].append((a, a + size))
+                            items[d].update(of)
+            out += [(int(n), merged(a), sorted(b)) for n, a, b in zip(np.diff(words.first), spans, items)]
+        return out
 
 
 def _broadcast_phrases(benchmark: DataFrame, n: int, most: int, id_col: str, text_col: str):
@@ -124,7 +136,7 @@ def find_contamination(
     def work(batches):
         matcher = Matcher(shared.value)
         for batch in batches:
-            got = [matcher.find(t) for t in batch.column(1).to_pylist()]
+            got = matcher.find(batch.column(1))
             spans = pa.array([[{"start": a, "end": b} for a, b in g[1]] for g in got], SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), spans, pa.array([g[2] for g in got], pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
 
@@ -137,10 +149,12 @@ def _windows_in(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     mask = np.uint64(BITMAP_BITS - 1)
 
     def places(batches):
-        ids = WordIds()
         for batch in batches:
-            at = [int(windows(ids.of(phrase.split(b" ")), size)[0] & mask) for size, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+            of: dict[int, list[bytes]] = {}
+            for size, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of.setdefault(size, []).append(phrase)
+            for size, some in of.items():
+                yield pa.RecordBatch.from_arrays([pa.array((phrase_hashes(some, size) & mask).astype(np.int64))], names=["at"])
 
     at = phrases.select("size", "phrase").mapInArrow(places, "at bigint")
     parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
@@ -151,18 +165,21 @@ def _windows_in(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def work(batches):
-        bits, ids = shared.value.reshape(-1), WordIds()
+        bits = shared.value.reshape(-1)
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words_of(text)
-                of = ids.of(w)
+            for first_row, end_row, raw, offsets in chunks(batch.column(1)):
+                words, names = Words(raw, offsets, TABLE), batch.column(0).slice(first_row, end_row - first_row)
                 for size in sizes:
-                    p = (windows(of, size) & mask).astype(np.int64)
+                    p = (windows(words.ids, size) & mask).astype(np.int64)
                     q = np.where(p > 0, p - 1 + BITMAP_ROW_BITS, 0)
-                    near = np.flatnonzero((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1).tolist()
+                    near = np.flatnonzero((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1)
+                    docs = np.searchsorted(words.first, near, side="right") - 1
+                    whole = near + size <= words.first[docs + 1]
+                    near, docs = near[whole], docs[whole]
                     for a in range(0, len(near), 10_000):
-                        span = near[a : a + 10_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(span), pa.int64()), pa.array(span, pa.int64()), pa.array([size] * len(span), pa.int32()), pa.array([b" ".join(w[i : i + size]) for i in span], pa.binary())], names=["row", "start", "size", "phrase"])
+                        i, d = near[a : a + 10_000], docs[a : a + 10_000]
+                        phrases = pa.array([words.phrase(x, x + size) for x in i.tolist()], pa.binary())
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(d)), pa.array(i - words.first[d], pa.int64()), pa.array(np.full(len(i), size), pa.int32()), phrases], names=["row", "start", "size", "phrase"])
 
     return rows.mapInArrow(work, "row bigint, start bigint, size int, phrase binary")
 
@@ -203,12 +220,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, text_col
     def work(batches):
         matcher = Matcher(shared.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            got = [matcher.find(t)[1] for t in texts]
+            got = [found[1] for found in matcher.find(batch.column(at))]
             if remove == "documents":
                 yield batch.filter(pa.array([not spans for spans in got], pa.bool_()))
             else:
-                clean = pa.array([cut_words(t, spans) for t, spans in zip(texts, got)], pa.string())
+                clean = pa.array([cut_words(t, spans) for t, spans in zip(batch.column(at).to_pylist(), got)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], clean, *batch.columns[at + 1 :]], names=batch.schema.names)
 
     return docs.mapInArrow(work, docs.schema)

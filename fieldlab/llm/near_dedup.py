@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.llm.buckets import HUBS, SMALL_BUCKET, link_components, shared_buckets
 from fieldlab.llm.common import LOWER, UPPER, WORD, Scratch, by_value, table
-from fieldlab.llm.words import WordIds, mixed, windows
+from fieldlab.llm.words import LOWERED, Words, chunks, mixed, windows
 
 THRESHOLD = 80
 #: Slots of a signature, and the most of pairs at the threshold that may meet in no band, where slots a band are chosen.
@@ -51,14 +51,21 @@ LOW = np.uint64(0xFFFFFFFF)
 S32 = np.uint64(32)
 
 
-def shingles(text: str | None, k: int, ids: WordIds) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
-    words = (text or "").encode().lower().split()
-    n = min(k, len(words))
+def shingles(words: Words, doc: int, all_windows: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of a document; all_windows: of k words, of all documents."""
+    of = words.of(doc)
+    n = min(k, of.stop - of.start)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    h = windows(ids.of(words), n)
-    return np.unique(h if n == k else mixed(h + np.uint64(n)))
+    return np.unique(all_windows[of.start : of.stop - k + 1] if n == k else mixed(windows(words.ids[of], n) + np.uint64(n)))
+
+
+def shingle_sets(texts: pa.Array, k: int):
+    """(first row, sets) of consecutive rows, some at a time."""
+    for start, end, raw, offsets in chunks(texts):
+        words = Words(raw, offsets, LOWERED)
+        every = windows(words.ids, k)
+        yield start, [shingles(words, d, every, k) for d in range(end - start)]
 
 
 def superminhash(flat: np.ndarray, owner: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -142,27 +149,30 @@ def signatures(docs: DataFrame, k: int, bands: int, slots: int) -> DataFrame:
     """(id, text) to (id, n_shingles, set_key, bands, sketch); the last three are null for empty sets."""
 
     def work(batches):
-        ids, m = WordIds(), bands * slots
+        m = bands * slots
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):
-                sets, total, start = [], 0, at
-                while at < len(texts) and total < 60_000:
-                    sets.append(shingles(texts[at].as_py(), k, ids))
-                    total += len(sets[-1])
-                    at += 1
-                full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [None] * len(sets)
-                hashed: list = [None] * len(sets)
-                bits: list = [None] * len(sets)
-                if full:
-                    owner = np.repeat(np.arange(len(full)), [len(sets[i]) for i in full])
-                    sig = superminhash(np.concatenate([sets[i] for i in full]), owner, len(full), m)
-                    b, s = band_hashes(sig, bands, slots), sketch(sig)
-                    for j, i in enumerate(full):
-                        keys[i], hashed[i], bits[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), b[j], s[j]
-                yield pa.RecordBatch.from_arrays([names.slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(hashed, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "bands", "sketch"])
+            for first, some in shingle_sets(batch.column(1), k):
+                at = 0
+                while at < len(some):
+                    start, total = at, 0
+                    while at < len(some) and total < 60_000:
+                        total += len(some[at])
+                        at += 1
+                    yield signed(batch.column(0).slice(first + start, at - start), some[start:at], m)
+
+    def signed(names, sets, m):
+        full = [i for i, s in enumerate(sets) if len(s)]
+        keys: list = [None] * len(sets)
+        hashed: list = [None] * len(sets)
+        bits: list = [None] * len(sets)
+        if full:
+            owner = np.repeat(np.arange(len(full)), [len(sets[i]) for i in full])
+            sig = superminhash(np.concatenate([sets[i] for i in full]), owner, len(full), m)
+            b, s = band_hashes(sig, bands, slots), sketch(sig)
+            for j, i in enumerate(full):
+                keys[i], hashed[i], bits[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), b[j], s[j]
+        columns = [names, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(hashed, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "set_key", "bands", "sketch"])
 
     return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
 
@@ -171,10 +181,9 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     """(id, text) to (node, elements): the sorted shingle hashes as bytes."""
 
     def work(batches):
-        ids = WordIds()
         for batch in batches:
-            sets = [shingles(t, k, ids).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
+            for first, sets in shingle_sets(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "elements"])
 
     return docs.mapInArrow(work, f"node {docs.schema['id'].dataType.simpleString()}, elements binary")
 
@@ -205,9 +214,11 @@ def elements(sets: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for node, raw in zip(batch.column(0), batch.column(1)):
-                h = np.frombuffer(raw.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(node, len(h)), pa.array(h)], names=["node", "h"])
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                h = [np.frombuffer(raw.as_buffer(), dtype=np.int64) for raw in part.column(1)]
+                owner = pa.array(np.repeat(np.arange(len(h)), [len(x) for x in h]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(np.concatenate(h))], names=["node", "h"])
 
     return sets.mapInArrow(work, f"node {sets.schema['node'].dataType.simpleString()}, h bigint")
 

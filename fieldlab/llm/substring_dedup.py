@@ -14,7 +14,8 @@ can know them:
    window). Equal windows have equal minimizers. Documents with the same words
    are one class from here on, which counts as often as it has members.
 2. A minimizer that occurs once in the corpus heads no repeated window: those
-   pieces are done. Of the rest, pieces with equal content are one with a weight.
+   pieces are done. Of the rest, pieces with equal content are one with a
+   weight; where a minimizer has one content, that weight counts its windows.
 3. Each shard, a bounded number of pieces of some minimizers, builds a
    suffix automaton over its pieces, sums weights over the suffix links, and
    streams the pieces through it: the matching statistics, held at the window's
@@ -41,54 +42,68 @@ from pyspark.sql import functions as F
 
 from fieldlab.llm.common import WORD, Scratch, by_value, table
 from fieldlab.llm.decontamination import merged
-from fieldlab.llm.words import STEP, WordIds, mixed, windows
+from fieldlab.llm.words import STEP, Words, chunks, mixed, windows
 
 WINDOW, ANCHOR = 35, 12
 #: Pieces of a shard at most; a piece has fewer than 2 * window words.
 SHARD_PIECES = 2_000
 
 
-def pieces(ids: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows, content hash) of each piece of a document."""
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def pieces(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, minimizer, first window, windows, content hash) of each piece of the documents."""
+    ids, count = words.ids, np.diff(words.first)
     if len(ids) < window:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none, none
-    grams, width = windows(ids, anchor), window - anchor + 1
-    rows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    at = rows.argmin(axis=1) + np.arange(len(rows))
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    end = np.append(first[1:], len(at))
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+    grams = windows(ids, anchor)
+    least = sliding_min(grams, window - anchor + 1)
+    doc = np.repeat(np.arange(len(count)), count)[: len(least)]
+    at = np.arange(len(least))
+    # a piece ends where its minimizer's place leaves the window or a lesser one comes in
+    new = np.empty(len(least), dtype=bool)
+    new[0] = True
+    new[1:] = (grams[: len(least) - 1] == least[:-1]) | (least[1:] < least[:-1]) | (doc[1:] != doc[:-1])
+    new &= at + window <= words.first[doc + 1]
+    first = np.flatnonzero(new)
+    doc = doc[first]
+    end = np.minimum(np.append(first[1:], len(ids)), words.first[doc + 1] - window + 1)
     # hashes of any run of words from sums of powers, modulo 2 ** 64
     back = np.uint64(pow(int(STEP), -1, 1 << 64))
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), STEP)]), dtype=np.uint64)
     inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), back)]), dtype=np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(ids * power[:-1], dtype=np.uint64)])
     content = mixed((sums[end - 1 + window] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
-    return grams[at[first]].view(np.int64), first, end - first, content.view(np.int64)
+    return doc, least[first].view(np.int64), first - words.first[doc], end - first, content.view(np.int64)
+
+
+def words_key(words: Words, doc: int) -> bytes:
+    return xxhash.xxh3_128_digest(words.ids[words.of(doc)].tobytes())
 
 
 def scan(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(key, id, text) to (key, id, n_words, words_key, words_sha256, pieces)."""
-    piece = pa.list_(pa.struct([("m", pa.int64()), ("c", pa.int64()), ("first", pa.int32()), ("n", pa.int32())]))
 
     def work(batches):
-        ids = WordIds()
         for batch in batches:
-            n, keys, shas, found = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words = (text or "").encode().split()
-                own = ids.of(words)
-                n.append(len(words))
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                m, first, count, content = pieces(own, window, anchor)
-                found.append(pa.StructArray.from_arrays([pa.array(m, pa.int64()), pa.array(content, pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=["m", "c", "first", "n"]))
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            flat = pa.concat_arrays(found) if found else pa.array([], piece.value_type)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas, pa.string()), lists], names=["key", "id", "n_words", "words_key", "words_sha256", "pieces"])
-
-    return docs.mapInArrow(work, f"key string, id {docs.schema['id'].dataType.simpleString()}, n_words bigint, words_key binary, words_sha256 string, pieces array<struct<m:bigint,c:bigint,first:int,n:int>>")
+            for start, end, raw, offsets in chunks(batch.column(2)):
+                words, docs_ = Words(raw, offsets), range(end - start)
+                doc, m, first, count, content = pieces(words, window, anchor)
+                flat = pa.StructArray.from_arrays([pa.array(m, pa.int64()), pa.array(content, pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=["m", "c", "first", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(end - start + 1)), pa.int32()), flat)
+                shas = [hashlib.sha256(words.phrase(o.start, o.stop) if (o := words.of(d)).stop > o.start else b"").hexdigest() for d in docs_]
+                columns = [batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), pa.array(np.diff(words.first), pa.int64())]
+                columns += [pa.array([words_key(words, d) for d in docs_], pa.binary()), pa.array(shas, pa.string()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n_words", "words_key", "words_sha256", "pieces"])
+
+    return docs.mapInArrow(work, f"key bigint, id {docs.schema['id'].dataType.simpleString()}, n_words bigint, words_key binary, words_sha256 string, pieces array<struct<m:bigint,c:bigint,first:int,n:int>>")
 
 
 class SuffixAutomaton:
@@ -142,41 +157,40 @@ class SuffixAutomaton:
 
     def occurrences(self, words, window: int) -> list[int]:
         """Streams the words; for each window, how often it occurs in the lists (0 where it doesn't)."""
+        nxt, link, length, total = self.next, self.link, self.length, self.total
         out, state, matched = [], 0, 0
-        for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if w in self.next[state]:
-                state = self.next[state][w]
+        for i, w in enumerate(words, 1):
+            while state and w not in nxt[state]:
+                state = link[state]
+                matched = length[state]
+            if w in nxt[state]:
+                state = nxt[state][w]
                 matched += 1
-            while self.length[self.link[state]] >= window if state else False:
-                state = self.link[state]
-                matched = self.length[state]
-            if i >= window - 1:
-                out.append(self.total[state] if matched >= window else 0)
+            while state and length[link[state]] >= window:
+                state = link[state]
+                matched = length[state]
+            if i >= window:
+                out.append(total[state] if matched >= window else 0)
         return out
 
 
 def judge(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """The pieces of a shard to the mask of their repeated windows; for split minimizers also hash and count of every window."""
-    out = []
+    """The pieces of a shard, streamed past the shard's automaton, to the mask of their repeated windows; for split minimizers also hash and count of every window."""
+    pdf = pdf.drop_duplicates(["m", "c"])
     number: dict[bytes, int] = {}
-    for m, group in pdf.drop_duplicates(["m", "c"]).groupby("m", sort=False):
-        split = bool(group["parts"].iloc[0] > 1)
-        lists = [[number.setdefault(w, len(number)) for w in text.split(b" ")] for text in group["content"]]
-        automaton = SuffixAutomaton()
-        for words in lists:
-            automaton.add(words)
-        automaton.weigh(lists, group["weight"].tolist())
-        for c, words, text in zip(group["c"], lists, group["content"]):
-            counts = automaton.occurrences(words, window)
-            mask = sum(1 << i for i, n in enumerate(counts) if n > 1)
-            each = []
-            if split:
-                raw = text.split(b" ")
-                each = [{"i": i, "h": xxhash.xxh3_128_digest(b" ".join(raw[i : i + window])), "n": n} for i, n in enumerate(counts)]
-            out.append((m, c, mask, each))
+    lists = [[number.setdefault(w, len(number)) for w in text.split(b" ")] for text in pdf["content"]]
+    automaton = SuffixAutomaton()
+    for words in lists:
+        automaton.add(words)
+    automaton.weigh(lists, pdf["weight"].tolist())
+    out = []
+    for m, c, parts, text, words in zip(pdf["m"], pdf["c"], pdf["parts"], pdf["content"], lists):
+        counts = automaton.occurrences(words, window)
+        each = []
+        if parts > 1:
+            raw = text.split(b" ")
+            each = [{"i": i, "h": xxhash.xxh3_128_digest(b" ".join(raw[i : i + window])), "n": n} for i, n in enumerate(counts)]
+        out.append((m, c, sum(1 << i for i, n in enumerate(counts) if n > 1), each))
     return pd.DataFrame(out, columns=["m", "c", "mask", "each"])
 
 
@@ -188,21 +202,24 @@ def repeated_spans(
         raise ValueError("the anchor is at most as long as the window and at most 61 words shorter")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    # ids may be null or repeated; the key only helps to find texts again, words_key then tells them apart
-    texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # ids may be null or repeated, so texts are found again by a hash of id and text; words_key then tells them apart
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = scratch.keep(scan(texts, window, anchor).select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
 
     classes = rows.where(F.col("n_words") >= window).groupBy("words_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("members"))
     lead = rows.select("row", "words_key", "key", "pieces").join(classes, ["words_key", "row"])
     piece = lead.select("row", "members", F.explode("pieces").alias("p")).select("row", "members", "p.*")
-    heads = piece.groupBy("m").agg(F.sum("members").alias("times")).where("times > 1").select("m")
+    heads = scratch.keep(piece.groupBy("m").agg(F.sum("members").alias("times")).where("times > 1").select("m"), "heads")
     piece = scratch.keep(piece.join(heads, "m"), "pieces")
 
     content = piece.groupBy("m", "c").agg(F.sum("members").alias("weight"), F.min(F.struct("row", "first", "n")).alias("at"))
     content = scratch.keep(content.select("m", "c", "weight", "at.*"), "contents")
-    shards = max(1, -(-content.count() // shard_pieces))
-    parts = content.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_pieces)).alias("parts"))
-    sent = content.join(parts, "m").withColumn("shard", F.pmod(F.xxhash64("m", F.pmod(F.col("c"), F.col("parts"))), F.lit(shards)))
+    several = content.groupBy("m").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    several = scratch.keep(several.select("m", F.ceil(F.col("contents") / F.lit(shard_pieces)).alias("parts"), "contents"), "several")
+    shards = max(1, -(-(several.agg(F.sum("contents")).first()[0] or 0) // shard_pieces))
+    # all windows of a minimizer with one content occur as often as that piece
+    alone = content.join(several, "m", "left_anti").select("m", "c", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
+    sent = content.join(several, "m").withColumn("shard", F.pmod(F.xxhash64("m", F.pmod(F.col("c"), F.col("parts"))), F.lit(shards)))
     asked = sent.groupBy("row").agg(F.collect_list(F.struct("m", "c", "weight", "first", "n", "parts", "shard")).alias("asked"))
     wanted = piece.select("row").distinct().join(asked, "row", "left").join(lead.select("row", "words_key", "key"), "row")
     found = scratch.keep(texts.select("key", "text").join(wanted, "key").select("row", "words_key", "text", "asked"), "candidates")
@@ -210,14 +227,15 @@ def repeated_spans(
     def contents(batches):
         for batch in batches:
             out: list = [[] for _ in range(6)]
-            for key, text, asks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                words = (text or "").encode().split()
-                if not asks or xxhash.xxh3_128_digest(WordIds().of(words).tobytes()) != key:
-                    continue
-                for a in asks:
-                    text_of = b" ".join(words[a["first"] : a["first"] + a["n"] + window - 1])
-                    for column, v in zip(out, (a["m"], a["c"], a["weight"], a["parts"], a["shard"], text_of)):
-                        column.append(v)
+            for start, end, raw, offsets in chunks(batch.column(2)):
+                words = Words(raw, offsets)
+                for d, (key, asks) in enumerate(zip(batch.column(1).slice(start, end - start).to_pylist(), batch.column(3).slice(start, end - start).to_pylist())):
+                    if not asks or words_key(words, d) != key:
+                        continue
+                    for a in asks:
+                        at = words.first[d] + a["first"]
+                        for column, v in zip(out, (a["m"], a["c"], a["weight"], a["parts"], a["shard"], words.phrase(at, at + a["n"] + window - 1))):
+                            column.append(v)
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["m", "c", "weight", "parts", "shard", "content"])
 
@@ -228,25 +246,24 @@ def repeated_spans(
     each = judged.where(F.size("each") > 0).select("m", "c", F.explode("each").alias("e")).select("m", "c", "e.*")
     often = each.groupBy("m", "h").agg(F.sum("n").alias("times")).where("times > 1")
     across = each.join(often, ["m", "h"]).groupBy("m", "c").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("more"))
-    masks = judged.select("m", "c", "mask").join(across, ["m", "c"], "left").select("m", "c", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mask")).where("mask <> 0")
+    masks = judged.select("m", "c", "mask").join(across, ["m", "c"], "left").select("m", "c", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mask")).where("mask <> 0").unionByName(alone)
     marks = piece.select("row", "m", "c", "first").join(masks, ["m", "c"]).groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
 
     def removal(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             out: list = [[], [], [], []]
-            for row, key, text, got in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = (text or "").encode().split()
-                if xxhash.xxh3_128_digest(WordIds().of(words).tobytes()) != key:
-                    continue
-                spans = merged([(x["first"] + i, x["first"] + i + window) for x in got for i in range(x["mask"].bit_length()) if x["mask"] >> i & 1])
-                kept, last = [], 0
-                for a, b in spans:
-                    kept += words[last:a]
-                    last = b
-                kept += words[last:]
-                for column, v in zip(out, (row, [{"start": a, "end": b} for a, b in spans], len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())):
-                    column.append(v)
+            for begin, stop, raw, offsets in chunks(batch.column(2)):
+                words = Words(raw, offsets)
+                for d, (row, key, got) in enumerate(zip(*(batch.column(i).slice(begin, stop - begin).to_pylist() for i in (0, 1, 3)))):
+                    if words_key(words, d) != key:
+                        continue
+                    spans = merged([(x["first"] + i, x["first"] + i + window) for x in got for i in range(x["mask"].bit_length()) if x["mask"] >> i & 1])
+                    base, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
+                    edges = [0, *(p for span in spans for p in span), n]
+                    kept = b" ".join(words.phrase(base + a, base + b) for a, b in zip(edges[::2], edges[1::2]) if a < b)
+                    for column, v in zip(out, (row, [{"start": a, "end": b} for a, b in spans], sum(b - a for a, b in spans), hashlib.sha256(kept).hexdigest())):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), kind, pa.int64(), pa.string()))], names=["row", "spans", "n_removed", "sha"])
 
     removed = found.select("row", "words_key", "text").join(marks, "row").mapInArrow(removal, "row bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, sha string")
