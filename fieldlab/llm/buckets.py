@@ -26,7 +26,7 @@ from fieldlab.llm.components import components
 
 SMALL_BUCKET = 64
 HUBS = 128
-LEVELS = 3
+LEVELS = 2
 
 
 def shared_buckets(member: DataFrame, scratch: Scratch) -> DataFrame:
