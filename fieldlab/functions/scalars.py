@@ -26,9 +26,14 @@ def _col(c: Column | str) -> Column:
 
 # ---- names and paths --------------------------------------------------------
 def natural_key(s: Column | str) -> Column:
-    """Text that sorts like s with its digit runs read as numbers: Foo3 before Foo30."""
+    """Text that sorts like s with its digit runs, of any length, read as numbers: Foo3 before Foo30."""
     runs = F.regexp_extract_all(_col(s), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(F.rlike(x, F.lit("^[0-9]")), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+    def sized(x: Column) -> Column:
+        digits = F.ltrim(x, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(runs, lambda x: F.when(F.rlike(x, F.lit("^[0-9]")), sized(x)).otherwise(x)), "")
 
 
 def base_name(path: Column | str) -> Column:
@@ -84,7 +89,8 @@ def is_audio_file(path: Column | str) -> Column:
 
 
 def is_image_file(path: Column | str) -> Column:
-    return F.lower(suffix(path)).isin(*IMAGE_SUFFIXES)
+    """Suffixes are compared as they are: an upper-case one is none of an image."""
+    return suffix(path).isin(*IMAGE_SUFFIXES)
 
 
 def vocalization_type(kind: Column | str) -> Column:
@@ -117,6 +123,11 @@ def snippet_name(path: Column | str, start: Column | str) -> Column:
     return F.concat(stem(path), F.lit("_sw-start"), F.bround(_col(start), 0).cast("long").cast("string"), F.lit(".png"))
 
 
+def species_copy_name(snippet: Column | str, species: Column | str) -> Column:
+    """The name of a snippet's copy for a further species: <stem>_<species>.png, spaces in the species as '_'."""
+    return F.concat(stem(snippet), F.lit("_"), F.translate(_col(species), " ", "_"), F.lit(".png"))
+
+
 def serial_number(path: Column | str) -> Column:
     """Last '_' token of the stem as an integer, else null."""
     return F.try_to_number(F.regexp_extract(F.element_at(F.split(stem(path), "_"), -1), r"^([0-9]{1,18})$", 1), F.lit("999999999999999999")).cast("long")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlab.operators.counts import samples_per_class
+from fieldlab.operators.ranks import numbered
 from fieldlab.operators.sampling import order_key, ranked
 
 GOALS = ("tenth", "median", "max", "number")
@@ -47,7 +48,7 @@ def class_target(counts: DataFrame, goal: str = "median", **options) -> DataFram
 
 def allocate_round_robin(files: DataFrame, quotas: DataFrame, *, cls: str = "class_name", order: str = "path") -> DataFrame:
     """Adds `augmentations`: the class's need spread over its files, the first ones one more."""
-    counted = files.withColumn("_rn", F.row_number().over(Window.partitionBy(cls).orderBy(order)))
+    counted = numbered(files, [order], "_rn", by=cls).withColumn("_rn", F.col("_rn") + 1)
     sized = counted.join(samples_per_class(files, cls).select(cls, F.col("num_samples").alias("_files")), cls).join(quotas.select(cls, "need"), cls)
     share = F.floor(F.col("need") / F.col("_files")) + (F.col("_rn") <= F.col("need") % F.col("_files")).cast("long")
     return sized.withColumn("augmentations", share.cast("long")).select(*files.columns, "augmentations")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions import scalars as S
+from fieldlab.operators.ranks import numbered
 
 KINDS = ("add_bg", "time_shift", "volume", "noise", "mask", "original")
 
@@ -29,7 +30,9 @@ def recording_length_per_class(recordings: DataFrame, cls: str = "class_name", s
 
 
 def class_weights(samples: DataFrame, cls: str = "class_name") -> DataFrame:
-    """count / largest count: the majority class has 1. Only class counts go through the window."""
+    """count / largest count: the majority class has 1. Only class counts go through the window. Without samples there are no classes, which is an error."""
+    if samples.isEmpty():
+        raise ValueError("there are no classes to weigh")
     return samples_per_class(samples, cls).withColumn("weight", F.col("num_samples") / F.max("num_samples").over(Window.partitionBy())).orderBy(S.natural_key(cls))
 
 
@@ -47,22 +50,10 @@ def assign_class_ids(samples: DataFrame, cls: str = "class_name") -> DataFrame:
 
 
 def assign_sample_ids(samples: DataFrame, *, cls: str = "class_name", order: Sequence[str] = ("path",), first: int = 0) -> DataFrame:
-    """Adds class_id and sample_id: consecutive by class, then natural order of the given columns.
-
-    Rows are range-partitioned by their sort key; a count per partition gives
-    each its first id, so no task sees more than its range. The number of
-    partitions is given, so both uses share one exchange.
-    """
-    keys = ["class_id", *[f"_k{i}" for i in range(len(order))], *order]
-    keyed = samples.join(assign_class_ids(samples, cls), cls).withColumns({f"_k{i}": S.natural_key(c) for i, c in enumerate(order)})
-    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    # positions within a partition follow its order; the partition's number is in the upper bits
-    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(offsets, "_part").withColumn("sample_id", at + F.col("_before") + first).drop("_part", "_at", "_before", *[f"_k{i}" for i in range(len(order))])
+    """Adds class_id and sample_id: consecutive by class, then natural order of the given columns, which tell the samples of a class apart."""
+    named = samples.join(assign_class_ids(samples, cls), cls)
+    out = numbered(named, ["class_id", *[S.natural_key(c) for c in order], *order], "sample_id")
+    return out.withColumn("sample_id", F.col("sample_id") + first)
 
 
 def union_roots(roots: Sequence[DataFrame], *, cls: str = "class_name", order: Sequence[str] = ("root", "path")) -> DataFrame:

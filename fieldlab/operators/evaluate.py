@@ -109,6 +109,13 @@ def loss_summary(losses: DataFrame, by: Sequence[str] = ("run_id", "step", "phas
     return losses.groupBy(*by).agg(F.avg(F.col("loss") / F.col(batch_size)).alias("mean_loss"))
 
 
+def weighted_loss(predictions: DataFrame, weights: DataFrame, *, logits: str = "logits", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., mean_loss): cross entropy with the weight (class_id, weight) of each row's truth, over the sum of those weights."""
+    weighed = predictions.join(weights.select(F.col("class_id").alias(label), "weight"), label)
+    loss = F.sum(F.col("weight") * S.cross_entropy(logits, label)) / F.sum("weight")
+    return (weighed.groupBy(*by) if by else weighed).agg(loss.alias("mean_loss"))
+
+
 # ---- precision-recall curves ------------------------------------------------
 def pr_curve(scored: DataFrame, thresholds: Sequence[float] = THRESHOLDS, *, cls: str | None = None, label: str = "label", score: str = "score") -> DataFrame:
     """(cls, i, threshold, precision, recall, f1 and whether each was undefined) from 0/1 labels and scores.
@@ -204,13 +211,20 @@ def plateau(epochs: DataFrame, value: str = "accuracy", *, run: str = "run_id",
     return out.withColumn("stop", F.coalesce((F.col("mean_diff") < least) & (F.col("_n") > min_epochs), F.lit(False))).drop("_n")
 
 
-def recent_history(epochs: DataFrame, value: str, n: int, *, run: str = "run_id", step: str = "step", phase: str = "phase", phases: Sequence[str] = ("training", "validating")) -> DataFrame:
-    """(run, step, one column per phase) of each run's last n steps."""
+def recent_history(epochs: DataFrame, value: str, n: int, *, run: str = "run_id", step: str = "step", phase: str = "phase", phases: Sequence[str] = ("training", "validating"), strict: bool = False) -> DataFrame:
+    """(run, step, one column per phase) of each run's last n steps. strict: fail if a run has no steps of one of the phases, or not the same number of them."""
+    if strict:
+        held = epochs.where(F.col(phase).isin(*phases)).groupBy(run).agg(*[F.count_if(F.col(phase) == p).alias(p) for p in phases])
+        if epochs.isEmpty() or not held.where(" OR ".join(f"`{p}` <> `{phases[0]}` OR `{p}` = 0" for p in phases)).isEmpty():
+            raise ValueError("the phases of a run have different numbers of steps")
     wide = epochs.groupBy(run, step).agg(*[F.max(F.when(F.col(phase) == p, F.col(value))).alias(p) for p in phases])
     return wide.withColumn("_back", F.row_number().over(Window.partitionBy(run).orderBy(F.col(step).desc()))).where(F.col("_back") <= n).drop("_back")
 
 
 def per_class_train_val(scores: DataFrame, value: str = "f1", cls: str = "cls", phase: str = "phase", phases: Sequence[str] = ("training", "validating")) -> DataFrame:
+    """(class, one column per phase), rounded to one digit. Without scores there is nothing to compare, which is an error."""
+    if scores.isEmpty():
+        raise ValueError("there are no scores")
     return scores.groupBy(cls).agg(*[F.round(F.max(F.when(F.col(phase) == p, F.col(value))), 1).alias(p) for p in phases])
 
 

@@ -42,9 +42,8 @@ def filter_tallies(predictions: DataFrame, step: int | None = None, phase: str |
 
 
 def misclassified(predictions: DataFrame, samples: DataFrame, sample_id: str = "sample_id") -> DataFrame:
-    """(label, pred, samples): sorted distinct file names of the samples taken for another class."""
-    wrong = predictions.where("pred <> label").join(samples.select(sample_id, S.base_name("path").alias("_name")), sample_id)
-    return wrong.groupBy("label", "pred").agg(F.array_sort(F.collect_set("_name")).alias("samples"))
+    """(label, pred, name): the distinct file names of the samples taken for another class, a row each."""
+    return predictions.where("pred <> label").join(samples.select(sample_id, S.base_name("path").alias("name")), sample_id).select("label", "pred", "name").distinct()
 
 
 def select_by_species(recordings: DataFrame, requested: DataFrame, species: str = "phylo_name") -> tuple[DataFrame, DataFrame]:

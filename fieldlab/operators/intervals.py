@@ -93,25 +93,42 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, *, x: str, low: s
     return joined.select(*[left[c] for c in points.columns], F.coalesce(right["_index"], F.lit(-1)).alias("interval"))
 
 
-def _asof(left: DataFrame, right: DataFrame, on: str, keys: list[str], value: str, forward: bool, out: str) -> DataFrame:
-    """Both sides in one window per key; the nearest value before, or after, each left row."""
+def _asof(left: DataFrame, right: DataFrame, on: str, keys: list[str], value: str, forward: bool, out: str, bins: Column | None) -> DataFrame:
+    """Both sides in one window per key, sorted towards the value that is asked for, so that a running `last` finds it.
+
+    With bins the window is one per key and bin; what earlier bins end with is
+    worked out from one row per bin and fills in where a bin holds nothing yet.
+    """
     l = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1)).withColumn("_row", F.struct(*left.columns))
     r = right.select(*keys, F.col(on), F.col(value).alias("_v")).withColumn("_side", F.lit(0)).withColumn("_row", F.lit(None).cast(l.schema["_row"].dataType))
     both = l.select(*keys, on, "_v", "_side", "_row").unionByName(r.select(*keys, on, "_v", "_side", "_row"))
-    if forward:  # a value at the same time isn't greater: it sorts before the left row
-        order = Window.partitionBy(*keys).orderBy(F.col(on), F.col("_side")).rowsBetween(1, Window.unboundedFollowing)
-        v = F.first("_v", ignorenulls=True).over(order)
-    else:
-        order = Window.partitionBy(*keys).orderBy(F.col(on), F.col("_side")).rowsBetween(Window.unboundedPreceding, -1)
-        v = F.last("_v", ignorenulls=True).over(order)
-    return both.withColumn("_found", v).where("_side = 1").select("_row.*", F.col("_found").alias(out))
-
-
-def asof_le(left: DataFrame, right: DataFrame, *, on: str, keys: Sequence[str], value: str, out: str = "le") -> DataFrame:
-    """Adds the right value at the greatest `on` that is at most the left one."""
-    return _asof(left, right, on, list(keys), value, False, out)
+    # a value at the same time counts for what is at or before it, and isn't greater
+    order = [F.col(on).desc(), F.col("_side").desc()] if forward else [F.col(on), F.col("_side")]
+    if bins is None:
+        running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return both.withColumn("_found", F.last("_v", ignorenulls=True).over(running)).where("_side = 1").select("_row.*", F.col("_found").alias(out))
+    both = both.withColumn("_bin", bins)
+    nearest = F.min_by if forward else F.max_by
+    per_bin = both.groupBy(*keys, "_bin").agg(nearest("_v", F.when(F.col("_v").isNotNull(), F.col(on))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_bin").desc() if forward else F.col("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bin.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    running = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_found", F.last("_v", ignorenulls=True).over(running)).where("_side = 1")
+    same = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{i}"))
+    return found.join(carried, same).select("_row.*", F.coalesce("_found", "_carried").alias(out))
+
+
+def asof_le(left: DataFrame, right: DataFrame, *, on: str, keys: Sequence[str], value: str, out: str = "le", bins: Column | None = None) -> DataFrame:
+    """Adds the right value at the greatest `on` that is at most the left one.
+
+    bins: a function of `on` that never falls, such as its day; keys with very
+    many rows then spread over tasks by it.
+    """
+    return _asof(left, right, on, list(keys), value, False, out, bins)
 
 
-def asof_gt(left: DataFrame, right: DataFrame, *, on: str, keys: Sequence[str], value: str, out: str = "gt") -> DataFrame:
-    """Adds the right value at the smallest `on` that is greater than the left one."""
-    return _asof(left, right, on, list(keys), value, True, out)
+def asof_gt(left: DataFrame, right: DataFrame, *, on: str, keys: Sequence[str], value: str, out: str = "gt", bins: Column | None = None) -> DataFrame:
+    """Adds the right value at the smallest `on` that is greater than the left one. bins: as for asof_le."""
+    return _asof(left, right, on, list(keys), value, True, out, bins)

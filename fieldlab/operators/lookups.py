@@ -43,12 +43,27 @@ def skip_existing(inputs: DataFrame, existing: DataFrame, overwrite: bool = Fals
     return inputs if overwrite else inputs.join(existing.select(*on), list(on), "left_anti")
 
 
-def retain_latest(artefacts: DataFrame, n: int, *, run: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Adds `retained`: whether a row is among the newest n of its run by the given descending order."""
+def retain_latest(artefacts: DataFrame, n: int, *, run: str | Sequence[str], order: Sequence[Column], salts: int = 16) -> DataFrame:
+    """Adds `retained`: whether a row is among the newest n of its run by the given descending order.
+
+    A run is first cut into `salts` parts: only the newest n of each part can
+    be the run's, so no task sees more of a large run than a part of it.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*([run] if isinstance(run, str) else run)).orderBy(*order)
-    return artefacts.withColumn("retained", F.row_number().over(w) <= n)
+    by = [run] if isinstance(run, str) else list(run)
+    salted = artefacts.withColumn("_salt", F.pmod(F.xxhash64(*artefacts.columns), F.lit(salts)))
+    first = salted.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order)))
+    near = first.where(F.col("_nth") <= n).withColumn("retained", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= n)
+    return near.unionByName(first.where(F.col("_nth") > n).withColumn("retained", F.lit(False))).drop("_salt", "_nth")
+
+
+def distinct_union(tables: Sequence[DataFrame], column: str) -> DataFrame:
+    """The distinct values of a column over several tables: all species, all roots."""
+    out = tables[0].select(column)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(column))
+    return out.distinct()
 
 
 def equal_rows(a: DataFrame, b: DataFrame) -> DataFrame:

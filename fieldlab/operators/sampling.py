@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions import scalars as S
+from fieldlab.operators.ranks import numbered
 
 
 def order_key(seed: str | int, ident: str, epoch: int | None = None) -> Column:
@@ -54,6 +55,12 @@ def class_coverage(splits: DataFrame, cls: str) -> DataFrame:
     return splits.groupBy("split", cls).agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "validate").alias("validate"))
 
 
+def leaks_per_split(splits: DataFrame, ident: str) -> DataFrame:
+    """(split, n_train, n_leaking): rows trained on, and ids of them that the split is validated with too."""
+    trained = splits.where("role = 'train'").groupBy("split").agg(F.count(F.lit(1)).alias("n_train"))
+    return trained.join(leaking_ids(splits, ident).groupBy("split").agg(F.count(F.lit(1)).alias("n_leaking")), "split", "left").withColumn("n_leaking", F.coalesce("n_leaking", F.lit(0)))
+
+
 def leaking_ids(splits: DataFrame, ident: str) -> DataFrame:
     """(split, id) both trained on and validated with: none, if folds are right."""
     pick = lambda role: splits.where(F.col("role") == role).select("split", ident)
@@ -121,5 +128,5 @@ def shuffle(rows: DataFrame, ident: str, seed: int = 42, epoch: int = 0) -> Data
 
 def unique_names(files: DataFrame, *, folder: str, name: str, order: str) -> DataFrame:
     """Adds `unique_name`: names repeated in a folder get _r<n> before the suffix from the second on."""
-    n = F.row_number().over(Window.partitionBy(folder, name).orderBy(order))
-    return files.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(S.stem(name), F.lit("_r"), (F.col("_n") - 1).cast("string"), S.suffix(name)))).drop("_n")
+    again = numbered(files, [order], "_n", by=[folder, name])
+    return again.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(S.stem(name), F.lit("_r"), F.col("_n").cast("string"), S.suffix(name)))).drop("_n")

@@ -8,7 +8,8 @@ hash of seed and path, so results repeat.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,15 @@ def bandpass_coefficients(low: float, high: float, sr: int) -> tuple[np.ndarray,
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The causal recurrence a * y = b * x; its impulse response has died down after some thousand samples, so blocks are convolved by FFT."""
     n = 8192
+    impulse = impulse_response(tuple(b), tuple(a), n)
+    size = 1 << (len(x) + n - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(impulse, size), size)[: len(x)]
+
+
+@lru_cache(maxsize=32)
+def impulse_response(b: tuple[float, ...], a: tuple[float, ...], n: int) -> np.ndarray:
+    """Worked out once per task and sample rate."""
+    b, a = np.array(b), np.array(a)
     impulse = np.zeros(n)
     state = np.zeros(len(a) - 1)
     for i in range(n):
@@ -79,8 +89,7 @@ def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
         state = np.append(state[1:], 0) + b[1:] * u - a[1:] * impulse[i]
         if i > 64 and np.abs(impulse[i - 64 : i]).max() < 1e-9:
             break
-    size = 1 << (len(x) + n - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(impulse, size), size)[: len(x)]
+    return impulse
 
 
 def filter_band(audio: DataFrame, low: float = LOW_HZ, high: float = HIGH_HZ) -> DataFrame:
@@ -95,6 +104,7 @@ def filter_band(audio: DataFrame, low: float = LOW_HZ, high: float = HIGH_HZ) ->
     return map_rows(audio.select("path", "sr", "samples"), f, "path string, sr int, samples array<float>, error string")
 
 
+@lru_cache(maxsize=32)
 def mel_bank(sr: int, n_fft: int, n_mels: int) -> np.ndarray:
     """(n_mels, bins) triangles evenly spaced on the mel scale, each of unit area."""
     mel = lambda hz: 2595 * np.log10(1 + hz / 700)
@@ -236,26 +246,37 @@ def chop_spectrograms(files: DataFrame, **options) -> DataFrame:
     return slice_snippets(read_spectrograms(files).where("error IS NULL"), **options)
 
 
-def resize_normalize(spectrograms: DataFrame, height: int = 400, width: int = 400, mean: float = 0.5, std: float = 0.5) -> DataFrame:
-    """(path, values): bilinear to the size, scaled to 0..1, then (x - mean) / std, row by row."""
+def resize_normalize(spectrograms: DataFrame, height: int = 400, width: int = 400, mean: float | Sequence[float] = 0.5, std: float | Sequence[float] = 0.5, channels: int = 1, gray: bool = False) -> DataFrame:
+    """(path, values): bilinear to the size, scaled to 0..1, then (x - mean) / std, row by row, of each channel its own.
+
+    channels: values per pixel, side by side. gray: the channels' luminance
+    (of three) or mean becomes the only one.
+    """
 
     def f(row: dict) -> dict:
-        image = _image(row).astype(np.float64)
+        image = np.frombuffer(row["pixels"], dtype=np.uint8).reshape(int(row["height"]), int(row["width"]), channels).astype(np.float64)
+        if gray:
+            image = image @ (np.array([0.299, 0.587, 0.114]) if channels == 3 else np.full(channels, 1 / channels))[:, None]
         y = np.clip((np.arange(height) + 0.5) * image.shape[0] / height - 0.5, 0, image.shape[0] - 1)
         x = np.clip((np.arange(width) + 0.5) * image.shape[1] / width - 0.5, 0, image.shape[1] - 1)
         y0, x0 = y.astype(int), x.astype(int)
         y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
-        fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+        fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
         top = image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx
         low = image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx
-        return {"values": (((top * (1 - fy) + low * fy) / 255 - mean) / std).ravel().astype(np.float32)}
+        return {"values": (((top * (1 - fy) + low * fy) / 255 - np.asarray(mean)) / np.asarray(std)).ravel().astype(np.float32)}
 
     return map_rows(spectrograms.select("path", "height", "width", "pixels"), f, "path string, values array<float>, error string")
 
 
 # ---- augmentation and scoring -----------------------------------------------
-def augment_audio(planned: DataFrame, *, seed: int = 42) -> DataFrame:
-    """Rows (path, slot, method, sr, samples) to new samples: 'volume' and 'time_shift' of chance; unknown methods become errors."""
+def augment_audio(planned: DataFrame, *, noises: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """Rows (path, slot, method, sr, samples) to new samples: 'volume' and 'time_shift' of chance, 'add_bg' by mixing one of the noises in if there are any; unknown methods become errors."""
+    if noises is not None:
+        each = planned.where("method = 'add_bg'").withColumn("path", F.to_json(F.array("path", F.col("slot").cast("string"))))
+        mixed = mix_background(each, noises, seed=seed).withColumn("_of", F.from_json("path", "array<string>"))
+        mixed = mixed.select(F.col("_of")[0].alias("path"), F.col("_of")[1].cast("long").alias("slot"), F.lit("add_bg").alias("method"), "sr", "samples", "error")
+        return augment_audio(planned.where("method <> 'add_bg'"), seed=seed).unionByName(mixed)
 
     def f(row: dict) -> dict:
         rng = chance(seed, f"{row['path']}:{row['slot']}")
@@ -271,21 +292,34 @@ def augment_audio(planned: DataFrame, *, seed: int = 42) -> DataFrame:
     return map_rows(planned.select("path", "slot", "method", "sr", "samples"), f, "path string, slot bigint, method string, sr int, samples array<float>, error string")
 
 
+def augment_images(planned: DataFrame, *, longest: int = 15, seed: int = 42) -> DataFrame:
+    """Rows (path, slot, method, height, width, pixels, meta) to new images: 'freq_mask', 'time_mask' and 'noise'; unknown methods become errors."""
+    each = planned.withColumn("path", F.to_json(F.array("path", F.col("slot").cast("string"))))
+    of = lambda name: each.where(F.col("method") == name).select("path", "height", "width", "pixels", "meta")
+    known = {"freq_mask": mask_stripes(of("freq_mask"), "freq", longest, seed=seed), "time_mask": mask_stripes(of("time_mask"), "time", longest, seed=seed), "noise": add_noise(of("noise"), seed=seed)}
+    bad = each.where(~F.col("method").isin(*known)).select("path", "method", "height", "width", "pixels", F.concat(F.lit("unknown method "), "method").alias("error"))
+    for name, made in known.items():
+        bad = bad.unionByName(made.select("path", F.lit(name).alias("method"), "height", "width", "pixels", "error"))
+    named = bad.withColumn("_of", F.from_json("path", "array<string>"))
+    return named.select(F.col("_of")[0].alias("path"), F.col("_of")[1].cast("long").alias("slot"), "method", "height", "width", "pixels", "error")
+
+
 def augmentation_report(results: DataFrame, cls: str = "class_name") -> DataFrame:
     """(class, succeeded, failed)."""
     return results.groupBy(cls).agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
-def batch_scores(samples: DataFrame, make_predict: Callable[[], Callable], shape: list[int], *, values: str = "values", size: int = 64, models: int = 1) -> DataFrame:
-    """Adds run_id 0.. models - 1, logits and pred. make_predict() is called once per task and returns f(run ids, inputs) -> scores, a row each. shape: of one input."""
+def batch_scores(samples: DataFrame, make_predict: Callable[[], Callable], shape: list[int], *, values: str = "values", size: int = 64, models: int = 1, label: str | None = None) -> DataFrame:
+    """Adds run_id 0.. models - 1, logits and pred, and the cross entropy `loss` if the truth's column is given. make_predict() is called once per task and returns f(run ids, inputs) -> scores, a row each. shape: of one input."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
-    from fieldlab.functions.scalars import argmax
+    from fieldlab.functions.scalars import argmax, cross_entropy
 
     score = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=size, input_tensor_shapes={1: shape})
     runs = samples.withColumn("run_id", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
-    return runs.withColumn("logits", score(F.col("run_id").cast("double"), values)).withColumn("pred", argmax("logits"))
+    out = runs.withColumn("logits", score(F.col("run_id").cast("double"), values)).withColumn("pred", argmax("logits"))
+    return out if label is None else out.withColumn("loss", cross_entropy("logits", label))
 
 
 by_value(__name__)

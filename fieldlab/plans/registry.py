@@ -108,14 +108,14 @@ def _clicks(spark, sf_dir):
 def q03_asof_le(spark, sf_dir):
     """The user's last click at or before each other event."""
     others, clicks = _clicks(spark, sf_dir)
-    return intervals.asof_le(others, clicks, on="ts", keys=["user_id"], value="click").select("event_id", "le")
+    return intervals.asof_le(others, clicks, on="ts", keys=["user_id"], value="click", bins=F.to_date("ts")).select("event_id", "le")
 
 
 @query(_ASOF.format(name="gt", op="<"))
 def q04_asof_gt(spark, sf_dir):
     """The user's first click after each other event."""
     others, clicks = _clicks(spark, sf_dir)
-    return intervals.asof_gt(others, clicks, on="ts", keys=["user_id"], value="click").select("event_id", "gt")
+    return intervals.asof_gt(others, clicks, on="ts", keys=["user_id"], value="click", bins=F.to_date("ts")).select("event_id", "gt")
 
 
 # ---- evaluation -------------------------------------------------------------
@@ -451,15 +451,14 @@ def q36_retain_latest(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT translate('doc (' || doc_id || ')', '/ ()', '____') AS name FROM documents WHERE doc_id % 3 > 0),
+WITH c AS (SELECT DISTINCT translate('doc (' || vec_id || ')', '/ ()', '____') AS name FROM embeddings),
 f AS (SELECT DISTINCT translate('doc (' || doc_id || ')', '/ ()', '____') AS name FROM labels)
 SELECT coalesce(c.name, f.name) AS name, c.name IS NOT NULL AS in_catalog, f.name IS NOT NULL AS in_files FROM c FULL JOIN f ON c.name = f.name
 """)
 def q37_reconcile(spark, sf_dir):
-    """Documents of a catalog against labelled ones; a third is left out of the catalog so that both sides lack some."""
-    name = F.concat(F.lit("doc ("), F.col("doc_id").cast("string"), F.lit(")")).alias("name")
-    docs = table(spark, sf_dir, "documents")
-    return lookups.reconcile(docs.where("doc_id % 3 > 0").select(name), table(spark, sf_dir, "labels").select(name), "name", "name")
+    """Names of embeddings against names of labelled documents: both sides lack some."""
+    named = lambda t, key: table(spark, sf_dir, t).select(F.concat(F.lit("doc ("), F.col(key).cast("string"), F.lit(")")).alias("name"))
+    return lookups.reconcile(named("embeddings", "vec_id"), named("labels", "doc_id"), "name", "name")
 
 
 _NAT = "regexp_replace(source, '[0-9]+', '') || lpad(regexp_extract(source, '[0-9]+'), 20, '0')"
@@ -532,14 +531,20 @@ def q44_exceptall(spark, sf_dir):
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def q45_union(spark, sf_dir):
     key = lambda name, c: table(spark, sf_dir, name).select(F.col(c).alias("k"))
-    return key("customer", "c_nationkey").unionByName(key("supplier", "s_nationkey")).distinct()
+    return lookups.distinct_union([key("customer", "c_nationkey"), key("supplier", "s_nationkey")], "k")
 
 
-@query("SELECT 0 AS n_leaking")
+@query("""
+WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:0:' || doc_id::VARCHAR), doc_id) AS nth FROM labels),
+c AS (SELECT quality, (sum(n) OVER (ORDER BY quality) - n)::BIGINT AS start FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality)),
+s AS (SELECT doc_id, ((nth - 1 + start) % 5)::INT AS fold, unnest(range(5))::INT AS split FROM r JOIN c USING (quality)),
+b AS (SELECT split, count(*) AS n FROM (SELECT split, doc_id FROM s WHERE split <> fold INTERSECT SELECT split, doc_id FROM s WHERE split = fold) GROUP BY split)
+SELECT split, count(*) AS n_train, coalesce(any_value(n), 0) AS n_leaking FROM s LEFT JOIN b USING (split) WHERE split <> fold GROUP BY split
+""")
 def q46_intersect(spark, sf_dir):
-    """Rows of any split that are both trained on and validated with: there must be none."""
+    """Of each split, rows that are trained on, and those of them that it is validated with too: there must be none."""
     folds = sampling.stratified_kfold(table(spark, sf_dir, "labels").select("doc_id", "quality"), 5, cls="quality", ident="doc_id")
-    return sampling.leaking_ids(sampling.fold_splits(folds, 5), "doc_id").agg(F.count(F.lit(1)).alias("n_leaking"))
+    return sampling.leaks_per_split(sampling.fold_splits(folds, 5), "doc_id")
 
 
 @query("""WITH p AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding[1:10]] AS s FROM embeddings)
@@ -558,11 +563,11 @@ def q50_serial_range(spark, sf_dir):
     return kept.withColumn("kept", F.lit(True)).unionByName(rejected.withColumn("kept", F.lit(False))).select("doc_id", "kept")
 
 
-@query(f"""WITH {_PRED} SELECT label, p.pred, array_to_string(list_sort(list_distinct(list('s' || vec_id || '.png'))), ',') AS samples FROM p WHERE label <> pred GROUP BY label, pred""")
+@query(f"""WITH {_PRED} SELECT DISTINCT label, p.pred, 's' || vec_id || '.png' AS name FROM p WHERE label <> pred""")
 def q51_misclassified(spark, sf_dir):
     p = _predictions(spark, sf_dir)
     index = p.select("vec_id", F.concat(F.lit("/data/s"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"))
-    return filters.misclassified(p, index, "vec_id").withColumn("samples", F.array_join("samples", ","))
+    return filters.misclassified(p, index, "vec_id")
 
 
 @query(f"""WITH {_PRED}, t AS (SELECT truth // 2 AS pair, pred // 2 AS got, n FROM m)
@@ -682,3 +687,6 @@ def q63_totals(spark, sf_dir):
 @query(f"WITH {_PRED} SELECT truth, sum(n)::BIGINT AS total FROM m GROUP BY truth")
 def q64_truth_totals(spark, sf_dir):
     return evaluate.truth_totals(evaluate.confusion_matrix(_predictions(spark, sf_dir), _classes(spark)))
+
+
+from fieldlab.plans import more_queries  # noqa: E402, F401  it registers its queries with the decorator above

@@ -106,6 +106,21 @@ def test_filters_and_mixing(spark):
     done = signal.augment_audio(plan).join(audio.select("path", F.lit("c").alias("class_name")), "path")
     report = signal.augmentation_report(done).first()
     assert (report.succeeded, report.failed) == (1, 1)
+    planned = audio.withColumn("slot", F.lit(2).cast("long")).withColumn("method", F.lit("add_bg"))
+    mixed = {r.path: r for r in signal.augment_audio(planned, noises=noises).collect()}
+    assert mixed["lo"].slot == 2 and mixed["lo"].error is None and len(mixed["lo"].samples) == 2 * SR
+
+
+def test_image_augmentation_and_chopping(spark):
+    pixels = bytes(range(240)) * 4
+    rows = [(f"p{i}", i, m, 24, 40, pixels, {"sr": "1", "duration": "10"}) for i, m in enumerate(("freq_mask", "time_mask", "noise", "volume"))]
+    planned = spark.createDataFrame(rows, "path string, slot bigint, method string, height int, width int, pixels binary, meta map<string,string>")
+    got = {r.method: r for r in signal.augment_images(planned).collect()}
+    assert all((got[m].error is None) == (m != "volume") for m in got) and len(got) == 4
+    assert all(got[m].pixels != pixels and len(got[m].pixels) == len(pixels) for m in ("freq_mask", "time_mask", "noise"))
+    colour = spark.createDataFrame([("c", 2, 2, bytes([255, 0, 0] * 4))], "path string, height int, width int, pixels binary")
+    assert list(signal.resize_normalize(colour, 2, 2, mean=[0.0, 0.5, 0.5], std=[1.0, 0.5, 0.5], channels=3).first().values)[:3] == [1.0, -1.0, -1.0]
+    assert abs(signal.resize_normalize(colour, 2, 2, mean=0.0, std=1.0, channels=3, gray=True).first().values[0] - 0.299) < 1e-6
 
 
 def test_batch_scores(spark):
@@ -115,6 +130,8 @@ def test_batch_scores(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "sample_id int, values array<double>")
     from pyspark.ml.functions import predict_batch_udf  # noqa: F401
 
+    scored = signal.batch_scores(rows.withColumn("label", F.lit(0)), make_predict, [2], size=2, label="label").first()
+    assert abs(scored.loss - (np.log(np.exp(np.array(scored.logits)).sum()) - scored.logits[0])) < 1e-9
     got = signal.batch_scores(rows, make_predict, [2], models=2, size=2).collect()
     assert len(got) == 10 and {r.run_id for r in got} == {0, 1}
     assert all(abs(r.logits[0] - (r.sample_id + 1) * (r.run_id + 1)) < 1e-9 for r in got)
@@ -124,7 +141,7 @@ def test_selection_table(spark, tmp_path):
     head = "\t".join(annotations.COLUMNS)
     lines = ["19\tSpectrogram 1\t1\t5.926034705\t7.964992409\t3944.330\t9791.219\tbgta\tcall\t1\thowp", "1\tSpectrogram 1\t1\t0.0\t6.2374\t2088.175\t8538.314\tvase\tsong\t1\trbps, bgta, rcwp", "2\tSpectrogram 1\t1\tx\t3.23\t1564.1\t3519.1\trbps\tsong\t1\t"]
     (tmp_path / "AM01_20190719_063242.selections.txt").write_text("\n".join([head, *lines]) + "\n")
-    rows = annotations.read_selection_tables(spark, str(tmp_path)).collect()
+    rows = annotations.read_selection_tables(spark, str(tmp_path), ordered=True).collect()
     assert [r.species for r in rows] == ["rbps", "vase", "bgta"]
     assert rows[1].mix == ["rbps", "bgta", "rcwp"] and rows[0].mix == [] and rows[0].time_interval.low_val is None
     assert rows[2].freq_interval.high_val == 9791.219 and rows[2].recording_id == "AM01_20190719_063242"
@@ -167,7 +184,7 @@ def test_logs(spark, tmp_path):
 def test_listings(spark, tree, tmp_path):
     assert files.list_files(spark, tree, "*.wav").count() == 4
     assert files.list_children(spark, tree + "/wren", "*.wav").count() == 2
-    paths = spark.createDataFrame([("/r/train/Foo30/a.png",), ("/r/train/Foo3/b.JPG",), ("/r/val/Foo3/c.png",), ("/r/.hid/Foo9/c.png",), ("/r/train/Foo3/x.txt",)], "path string")
+    paths = spark.createDataFrame([("/r/train/Foo30/a.png",), ("/r/train/Foo3/b.jpg",), ("/r/val/Foo3/c.png",), ("/r/.hid/Foo9/c.png",), ("/r/train/Foo3/x.txt",)], "path string")
     s = files.class_samples(paths)
     assert [r.class_name for r in files.class_names(s).collect()] == ["Foo3", "Foo30"]
     assert {r.class_name: r.directories for r in files.class_directories(s).collect()}["Foo3"] == ["/r/train/Foo3", "/r/val/Foo3"]

@@ -250,3 +250,64 @@ def test_orders(spark):
     a = spark.createDataFrame([(1, 2)], "step int, pred int")
     b = spark.createDataFrame([(1, 3, "x")], "step int, pred int, note string")
     assert ordering.append_tallies(a, b).count() == 2 and ordering.steps(ordering.append_tallies(a, b)).count() == 1
+
+
+def test_ids_are_dense_at_any_partitioning(spark):
+    rows = spark.range(12_000).selectExpr("concat('c', id % 3) AS class_name", "concat('f', id) AS path")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = counts.assign_sample_ids(rows).collect()
+            assert sorted(r.sample_id for r in got) == list(range(12_000))
+            order = sorted(got, key=lambda r: r.sample_id)
+            assert [r.path for r in order] == [f"f{i}" for c in range(3) for i in range(c, 12_000, 3)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_numbered_within_groups(spark):
+    from fieldlab.operators.ranks import numbered
+
+    rows = spark.createDataFrame([(g, i) for i in range(50) for g in ("hot", None)] + [("cold", 7)], "g string, i int")
+    got = {(r.g, r.i): r.position for r in numbered(rows, ["i"], by="g").collect()}
+    assert got == {**{(g, i): i for i in range(50) for g in ("hot", None)}, ("cold", 7): 0}
+    assert numbered(rows.limit(0), ["i"]).count() == 0
+
+
+def test_asof_with_and_without_bins(spark):
+    import random
+
+    rng = random.Random(3)
+    left = [(i, rng.choice("ab"), rng.randrange(60)) for i in range(300)]
+    right = [(k, t, f"{k}{t}") for k in "ab" for t in sorted(rng.sample(range(60), 12))]
+    l, r = spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "k string, t int, v string")
+    for f, best in ((intervals.asof_le, lambda t, ts: max((x for x in ts if x <= t), default=None)), (intervals.asof_gt, lambda t, ts: min((x for x in ts if x > t), default=None))):
+        for bins in (None, F.floor(F.col("t") / 7)):
+            got = {x.i: x.found for x in f(l, r, on="t", keys=["k"], value="v", out="found", bins=bins).collect()}
+            for i, k, t in left:
+                want = best(t, [x for kk, x, _ in right if kk == k])
+                assert got[i] == (None if want is None else f"{k}{want}")
+
+
+def test_errors_of_empty_and_uneven_input(spark):
+    empty = spark.createDataFrame([], "class_name string")
+    with pytest.raises(ValueError):
+        counts.class_weights(empty)
+    with pytest.raises(ValueError):
+        evaluate.per_class_train_val(spark.createDataFrame([], "cls int, phase string, f1 double"))
+    uneven = spark.createDataFrame([("r", 1, "training", 0.1), ("r", 1, "validating", 0.2), ("r", 2, "training", 0.3)], "run_id string, step int, phase string, f1 double")
+    with pytest.raises(ValueError):
+        evaluate.recent_history(uneven, "f1", 2, strict=True)
+    assert evaluate.recent_history(uneven, "f1", 1).first().validating is None
+
+
+def test_associate_and_containment(spark):
+    from fieldlab.functions import scalars as S
+
+    snippets = spark.createDataFrame([("r1", 0), ("r2", 1), ("r3", 2)], "recording_id string, s int")
+    notes = spark.createDataFrame([("r1", "x"), ("r1", "y"), ("r2", "z")], "recording_id string, species string")
+    assert sorted((r.s, r.species) for r in intervals.associate(snippets, notes).collect()) == [(0, "x"), (0, "y"), (1, "z")]
+    df = spark.createDataFrame([(0.0, 1.0, 0.0), (0.0, 1.0, 1.0)], "lo double, hi double, x double")
+    assert [r.i for r in df.select(S.interval_contains("lo", "hi", "x").alias("i")).collect()] == [True, False]
+    assert spark.range(1).select(S.step_number(F.lit(3), F.lit(2), 5).alias("s")).first().s == 17

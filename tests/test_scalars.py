@@ -25,11 +25,18 @@ def test_recording_id(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("Foo30",), ("Foo4b",), ("Foo3",)], "s string")
     assert [r.s for r in df.orderBy(S.natural_key("s")).collect()] == ["Foo3", "Foo4b", "Foo30"]
+    long = [f"a{'9' * 20}{i}b" for i in range(3)] + ["a" + "1" + "0" * 21 + "b"]
+    df = spark.createDataFrame([(x,) for x in reversed(long)], "s string")
+    assert [r.s for r in df.orderBy(S.natural_key("s")).collect()] == long
+
+
+def test_image_suffixes(spark):
+    assert one(spark, S.is_image_file("p"), p="/a/b.png") and not one(spark, S.is_image_file("p"), p="/a/b.PNG")
 
 
 @pytest.mark.parametrize("path,want", [
-    ("/home/yatagait/birds/src/birdsong/recordings/CALL_XC482431-R024 white ruffed manakin.mp3", "/home/...CALL_XC482431-R024 white ruffed manakin.mp3"),
-    ("home/yatagait/birds/src/CALL_XC482431-R024 white ruffed manakin.mp3", "home/...CALL_XC482431-R024 white ruffed manakin.mp3"),
+    ("/data/anna/project/recordings/2019/CALL_XC12345-R02 some small bird.mp3", "/data/...CALL_XC12345-R02 some small bird.mp3"),
+    ("data/anna/project/CALL_XC12345-R02 some small bird.mp3", "data/...CALL_XC12345-R02 some small bird.mp3"),
     ("foobar", "foobar"), ("foobar/fum", "foobar/fum"), ("a_long_folder/another_folder/b/c/file.txt", "a_long_folder/.../c/file.txt"),
 ])
 def test_ellipsed_path(spark, path, want):
