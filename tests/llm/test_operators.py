@@ -269,6 +269,25 @@ def test_mixing(spark):
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= mixing.BLOCK_WORDS + 1
     assert abs(sum(rs[0].target for rs in by.values()) - sum(r.size for r in got)) < 1e-6
     assert mixing.mix(df.limit(0)).count() == 0
+    assert all(sum(r.by_shard) == r.taken and min(r.by_shard) >= 0 for r in got) and sum(r.taken for r in got) == sum(r.size for r in got)
+    small = mixing.mix(df.where("doc_id = 1 AND text = 'w w'")).first()
+    assert (small.target, small.taken) == (2.0, 2)
+
+
+def test_quotas_of_each_shard_are_the_apportionment_of_its_blocks(spark):
+    sizes = {"a": 9_000, "b": 14_500, "c": 3_333, "d": 2_000, "e": 11_111}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    rows = {r.source: r for r in mixing.apportion(mixing.targets(df), block_words=10, shards=7).collect()}
+    total, won, ends = sum(sizes.values()), dict.fromkeys(sizes, 0), {s: [] for s in sizes}
+    seats = -(-total // 10)
+    for h in range(1, seats + 1):
+        best = max(sorted(sizes), key=lambda s: rows[s].target / (2 * won[s] + 1))
+        won[best] += 1
+        for j in range(1, 8):
+            if h == seats * j // 7:
+                for s in sizes:
+                    ends[s].append(won[s] * 10 - (seats * 10 - total if j == 7 and s == best else 0))
+    assert {s: list(rows[s].ends) for s in sizes} == ends and sum(e[-1] for e in ends.values()) == total
 
 
 def test_mixing_stage_with_null_and_repeated_ids(spark):
@@ -283,11 +302,10 @@ def test_mixing_stage_with_null_and_repeated_ids(spark):
     for r in out.collect():
         got[r.n] = got.get(r.n, 0) + 1
     # brute force: each source's rows in the seeded order take its quota of words, round after round
-    taken = {s: (blocks, limit) for s, blocks, limit in mixing.apportion(mixing.targets(docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("source_size")))).select("source", "blocks", "limit").collect()}
+    taken = {s: ends[-1] for s, ends in mixing.apportion(mixing.targets(docs.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("source_size")))).select("source", "ends").collect()}
     want = {}
-    for source, (blocks, limit) in taken.items():
+    for source, left in taken.items():
         of = [(hashlib.md5(f"{mixing.SEED}:{'' if d is None else d}".encode()).hexdigest(), d or 0, len(t.split()), i, n) for i, (d, t, s, n) in enumerate(rows) if s == source]
-        left, rounds = min(blocks * mixing.BLOCK_WORDS, limit), 0
         rounds, left = divmod(left, sum(x[2] for x in of))
         for _, _, size, _, n in sorted(of):
             part = min(size, left)
