@@ -2,20 +2,26 @@
 
 Arrivals are appended as small immutable shards. Compaction merges runs of
 similarly sized shards into files of a target size; every merge task reads
-whole shards and writes one file, so rows are not shuffled. A manifest names
-the shards of a version; a new version is written beside it and becomes
-visible by one rename that fails if another writer was first. Readers see a
-version whole or not at all, and a job that dies leaves only files that no
-manifest names, which vacuum() removes.
-
-The manifest holds one line per shard and none per document. All columns,
-nulls and repeated rows are kept as they are. An empty arrival adds no shard.
+whole shards and writes one file, so rows are not shuffled.
+
+The manifest is a log: each version is one small file that names the shards it
+adds and those it takes away, so a commit costs what it changes. It becomes
+visible by a rename that fails if another writer was first; that writer's
+shards are then looked at and the commit is tried again as the next version.
+Readers see a version whole or not at all. A job that dies leaves only files
+that no version names; vacuum() removes such files once they are older than
+any commit that may still be under way.
+
+The table of shards is read by Spark from the log; only shards below the
+target size, which are to be merged, come to the driver. All columns, nulls
+and repeated rows are kept as they are. An empty arrival adds no shard.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +35,10 @@ FAN_IN = 4
 ROWS_PER_ARRIVAL_SHARD = 8_000
 #: Merges that one job runs side by side.
 WAVE = 64
+#: Files that no version names are left alone for so long.
+GRACE_SECONDS = 86_400.0
+#: Appends in which the query's documents come.
+ARRIVALS = 3
 
 
 def tier(size: int, target: int, fan_in: int = FAN_IN) -> int:
@@ -55,41 +65,75 @@ def plan_merges(shards: list[dict], target: int, fan_in: int = FAN_IN) -> list[l
     return [m for m in merges if len(m) > 1]
 
 
+LOG = "version bigint, action string, name string, path string, rows bigint, bytes bigint, schema string"
+
+
+class LostShards(RuntimeError):
+    """Another writer has taken away shards that were to be merged."""
+
+
 class ShardTable:
-    """A folder of shards with manifests. `root` is on a file system that all executors share."""
+    """A folder of shards with a log of versions. `root` is on a file system that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[str]:
+    def version(self) -> int:
+        """The newest version; 0 before the first."""
         folder = self._path(f"{self.root}/manifest")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v"))
-
-    def manifest(self, version: int | None = None) -> dict:
-        """{version, schema, shards: [{name, path, rows, bytes}]} of a version, by default the newest."""
-        names = self._manifests()
-        if not names:
-            return {"version": 0, "schema": None, "shards": []}
-        name = names[-1] if version is None else f"v{version:010d}.json"
-        lines = self.spark.read.text(f"{self.root}/manifest/{name}", wholetext=True)
-        return json.loads(lines.first()[0])
-
-    def commit(self, was: dict, schema: str, shards: list[dict]) -> dict:
-        """Makes version was + 1 visible; fails if somebody else has made it."""
-        new = {"version": was["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["name"])}
-        part = self._path(f"{self.root}/manifest/_{uuid.uuid4().hex}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return max((int(n[1:-5]) for n in names if n.startswith("v")), default=0)
+
+    def log(self, version: int | None = None) -> DataFrame:
+        """Additions and removals up to a version, by default the newest."""
+        upto = self.version() if version is None else version
+        if not upto:
+            return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).json([f"{self.root}/manifest/v{v:010d}.json" for v in range(1, upto + 1)])
+
+    def shards(self, version: int | None = None) -> DataFrame:
+        """(name, path, rows, bytes) of the shards of a version."""
+        log = self.log(version)
+        gone = log.where("action = 'remove'").select("name")
+        return log.where("action = 'add'").join(gone, "name", "left_anti").select("name", "path", "rows", "bytes")
+
+    def schema(self, version: int | None = None) -> T.StructType | None:
+        """That of the newest commit which had one."""
+        row = self.log(version).where("schema IS NOT NULL").agg(F.max_by("schema", "version")).first()
+        return T.StructType.fromJson(json.loads(row[0])) if row[0] else None
+
+    def commit(self, added: list[dict], removed: list[str] = (), schema: str | None = None, tries: int = 20) -> int:
+        """Makes the next version visible and returns it. Other writers' commits in between are kept; removed shards must still be there."""
+        for _ in range(tries):
+            version = self.version() + 1
+            if removed and self.shards(version - 1).where(F.col("name").isin(list(removed))).count() < len(removed):
+                raise LostShards("shards that were merged are no longer in the table")
+            lines = [{"version": version, "action": "add", **s} for s in sorted(added, key=lambda s: s["name"])]
+            lines += [{"version": version, "action": "remove", "name": n} for n in sorted(removed)]
+            lines += [{"version": version, "action": "schema", "schema": schema}] if schema else []
+            if self._publish(version, "\n".join(map(json.dumps, lines)) + "\n"):
+                return version
+        raise RuntimeError(f"{tries} other writers were first")
+
+    def _publish(self, version: int, text: str) -> bool:
+        """Writes the file of a version beside its place and renames it there; False if the place is taken."""
+        part, place = self._path(f"{self.root}/manifest/_{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{version:010d}.json")
         out = self._fs.create(part, False)
-        out.write(bytearray(json.dumps(new).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         never_over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(part, self._path(f"{self.root}/manifest/v{new['version']:010d}.json"), never_over)
-        return new
+        try:
+            context.rename(part, place, never_over)
+        except Exception:
+            if not self._fs.exists(place):
+                raise
+            self._fs.delete(part, False)
+            return False
+        return True
 
     def _written(self, folder: str, schema: T.StructType, prefix: str) -> list[dict]:
         """Shards of the files in a folder, with rows and bytes; empty files are none. One row per file comes to the driver."""
@@ -98,79 +142,93 @@ class ShardTable:
         part = lambda file: file.split("-")[1] + "-" + file.split("-c")[-1].split(".")[0]
         return [{"name": f"{prefix}-{part(r.file)}", "path": f"{folder}/{r.file}", "rows": r.rows, "bytes": r.bytes} for r in found]
 
-    def append(self, df: DataFrame, rows_per_shard: int = ROWS_PER_ARRIVAL_SHARD) -> dict:
+    def append(self, df: DataFrame, rows_per_shard: int = ROWS_PER_ARRIVAL_SHARD) -> int:
         """Writes the rows as small shards, one or more a task, and commits them."""
-        was = self.manifest()
-        name = f"a{was['version'] + 1:08d}"
-        folder = f"{self.root}/data/{name}-{uuid.uuid4().hex[:8]}"
+        name = f"a{self.version() + 1:08d}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.root}/data/{name}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(folder)
-        schema = df.schema.json()
-        return self.commit(was, schema, was["shards"] + self._written(folder, df.schema, name))
-
-    def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, wave: int = WAVE) -> dict:
-        """Merges tiers until none has a run to merge; each round of merges is one commit."""
-        now = self.manifest()
-        while merges := plan_merges(now["shards"], target, fan_in):
-            schema = T.StructType.fromJson(json.loads(now["schema"]))
-            done: list[dict] = []
+        return self.commit(self._written(folder, df.schema, name), schema=df.schema.json())
+
+    def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, wave: int = WAVE) -> int:
+        """Merges tiers until none has a run to merge; each wave of merges is one commit."""
+        while merges := plan_merges(self.open_shards(target, fan_in), target, fan_in):
+            schema = self.schema()
             for at in range(0, len(merges), wave):
-                name = f"m{now['version'] + 1:08d}-{at // wave:05d}"
-                folder = f"{self.root}/data/{name}-{uuid.uuid4().hex[:8]}"
-                runs = [self.spark.read.schema(schema).parquet(*[s["path"] for s in m]).coalesce(1) for m in merges[at : at + wave]]
+                some = merges[at : at + wave]
+                name = f"m{self.version() + 1:08d}-{uuid.uuid4().hex[:8]}"
+                folder = f"{self.root}/data/{name}"
+                runs = [self.spark.read.schema(schema).parquet(*[s["path"] for s in m]).coalesce(1) for m in some]
                 joined = runs[0]
                 for r in runs[1:]:
                     joined = joined.union(r)
                 joined.write.option("compression", "zstd").parquet(folder)
-                done += self._written(folder, schema, name)
-            merged = {s["name"] for m in merges for s in m}
-            if sum(s["rows"] for s in done) != sum(s["rows"] for m in merges for s in m):
-                raise RuntimeError("merged shards don't hold the rows of their sources")
-            now = self.commit(now, now["schema"], [s for s in now["shards"] if s["name"] not in merged] + done)
-        return now
+                done = self._written(folder, schema, name)
+                if sum(s["rows"] for s in done) != sum(s["rows"] for m in some for s in m):
+                    raise RuntimeError("merged shards don't hold the rows of their sources")
+                try:
+                    self.commit(done, [s["name"] for m in some for s in m])
+                except LostShards:  # another compaction was first: look anew
+                    remove(self.spark, folder)
+                    break
+        return self.version()
+
+    def open_shards(self, target: int, fan_in: int) -> list[dict]:
+        """The shards below the target's tier: what arrived since, and fewer than fan_in per tier."""
+        small = self.shards().where(F.col("bytes") < target / fan_in**0.5 + 1)
+        return [r.asDict() for r in small.collect()]
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
-        m = self.manifest(version)
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        if not m["shards"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[s["path"] for s in m["shards"]])
+        schema, paths = self.schema(version), [r.path for r in self.shards(version).select("path").collect()]
+        if schema is None:
+            raise ValueError("nothing has been committed yet")
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def assignments(self, id_col: str) -> DataFrame:
-        """One row per row of the newest version: id, shard, shard_rows, shard_bytes, tier of the shard, version."""
-        m = self.manifest()
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        kind = schema[id_col].dataType.simpleString()
-        facts = self.spark.createDataFrame([(s["path"].rsplit("/", 1)[1], s["name"], s["rows"], s["bytes"]) for s in m["shards"]], "file string, shard string, shard_rows bigint, shard_bytes bigint")
-        rows = self.read() if m["shards"] else None
-        if rows is None:
-            return self.spark.createDataFrame([], f"`{id_col}` {kind}, shard string, shard_rows bigint, shard_bytes bigint, version bigint")
-        placed = rows.select(F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file")).join(facts, "file")
-        return placed.select(F.col("id").alias(id_col), "shard", "shard_rows", "shard_bytes", F.lit(m["version"]).cast("long").alias("version"))
-
-    def vacuum(self) -> None:
-        """Deletes data folders' files that the newest version doesn't name. Not while an older version is being read."""
-        keep = {s["path"].rsplit("/data/", 1)[1] for s in self.manifest()["shards"]}
+        """One row per row of the newest version: id, shard, its rows and bytes, version."""
+        version = self.version()
+        facts = self.shards(version).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), -2).alias("folder"), F.col("name").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+        rows = self.read(version)
+        if not rows.inputFiles():
+            return rows.select(F.col(id_col), *[F.lit(None).cast(t).alias(c) for c, t in (("shard", "string"), ("shard_rows", "bigint"), ("shard_bytes", "bigint"), ("version", "bigint"))])
+        file = F.split("_metadata.file_path", "/")
+        placed = rows.select(F.col(id_col).alias("id"), F.element_at(file, -1).alias("file"), F.element_at(file, -2).alias("folder")).join(facts, ["folder", "file"])
+        return placed.select(F.col("id").alias(id_col), "shard", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
+
+    def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> None:
+        """Deletes data files that the newest version doesn't name and that are older than the grace, which must exceed the time any writer takes to commit and any reader to read."""
+        keep = {r.path.rsplit("/data/", 1)[1] for r in self.shards().select("path").collect()}
+        before = (time.time() - grace_seconds) * 1000
         folder = self._path(f"{self.root}/data")
         for run in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-            inside = [f.getPath() for f in self._fs.listStatus(run.getPath())]
-            gone = [p for p in inside if f"{run.getPath().getName()}/{p.getName()}" not in keep]
-            if len(gone) == len(inside):
+            inside = list(self._fs.listStatus(run.getPath()))
+            gone = [f for f in inside if f"{run.getPath().getName()}/{f.getPath().getName()}" not in keep and f.getModificationTime() <= before]
+            for f in gone if len(gone) < len(inside) else ():
+                self._fs.delete(f.getPath(), False)
+            if inside and len(gone) == len(inside):
                 remove(self.spark, run.getPath().toString())
-                continue
-            for p in gone:
-                self._fs.delete(p, False)
 
 
-def shard(docs: DataFrame, *, id_col: str = "doc_id", root: str | None = None, target: int = TARGET_BYTES, fan_in: int = FAN_IN, rows_per_shard: int = ROWS_PER_ARRIVAL_SHARD) -> DataFrame:
-    """Appends the documents to a shard table (a new one by default), compacts it and returns where each row is."""
+def shard(
+    docs: DataFrame, *, id_col: str = "doc_id", root: str | None = None, target: int = TARGET_BYTES, fan_in: int = FAN_IN,
+    rows_per_shard: int = ROWS_PER_ARRIVAL_SHARD, arrivals: int = 1,
+) -> DataFrame:
+    """Appends the documents to a shard table, compacts it and returns where each row is.
+
+    A new table by default, from which what compaction has replaced is deleted
+    at once: nobody else knows it. arrivals: the documents come in so many
+    appends, dealt by a hash of their id.
+    """
     spark = docs.sparkSession
     store = ShardTable(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(docs, rows_per_shard)
+    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals))
+    for i in range(arrivals):
+        store.append(docs if arrivals == 1 else docs.where(part == i), rows_per_shard)
     store.compact(target, fan_in)
-    store.vacuum()
+    if root is None:
+        store.vacuum(0)
     return store.assignments(id_col)
 
 
 def op3_sharding(spark, sf_dir):
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), arrivals=ARRIVALS)

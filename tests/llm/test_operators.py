@@ -377,21 +377,48 @@ def test_shard_table(spark, tmp_path):
     for k in range(4):
         store.append(df.where(F.col("doc_id") % 4 == k), rows_per_shard=200)
     store.append(df.limit(0))
-    before = store.manifest()
-    assert before["version"] == 5 and len(before["shards"]) >= 16 and sum(s["rows"] for s in before["shards"]) == len(rows)
-    after = store.compact(target=40_000, fan_in=4)
-    assert len(after["shards"]) < len(before["shards"]) and not sharding.plan_merges(after["shards"], 40_000, 4)
-    assert all(s["bytes"] <= 2 * 40_000 for s in after["shards"])
+    before = [r.asDict() for r in store.shards().collect()]
+    assert store.version() == 5 and len(before) >= 16 and sum(s["rows"] for s in before) == len(rows)
+    store.compact(target=40_000, fan_in=4)
+    after = [r.asDict() for r in store.shards().collect()]
+    assert len(after) < len(before) and not sharding.plan_merges(after, 40_000, 4)
+    assert all(s["bytes"] <= 2 * 40_000 for s in after)
     assert store.read(5).count() == len(rows)  # the older version is still there
-    store.vacuum()
-    assert sorted(map(str, store.read().collect())) == sorted(map(str, df.collect()))
     where = store.assignments("doc_id")
-    assert where.count() == len(rows) and {r.shard for r in where.select("shard").collect()} == {s["name"] for s in after["shards"]}
-    with pytest.raises(Exception):  # noqa: B017 - somebody else has made this version
-        store.commit(before, after["schema"], [])
-    assert store.manifest()["version"] == after["version"]
+    assert where.count() == len(rows) and {r.shard for r in where.select("shard").collect()} == {s["name"] for s in after}
+    with pytest.raises(sharding.LostShards):  # merged already
+        store.commit([], [before[0]["name"]])
+    version = store.version()
+    assert not store._publish(version, "") and store.version() == version  # a version is never written over
+    # another writer's files, not committed yet, outlive a vacuum; those of older versions go
+    other = f"{store.root}/data/other"
+    df.limit(10).write.parquet(other)
+    store.vacuum(3600)
+    store.commit(store._written(other, df.schema, "other"))
+    assert store.read().count() == len(rows) + 10
+    store.vacuum(0)
+    assert store.read().count() == len(rows) + 10
+    with pytest.raises(Exception):  # noqa: B017 - the files of version 5 are gone now
+        store.read(5).count()
     empty = sharding.shard(df.limit(0).select("doc_id", "text"))
-    assert empty.count() == 0
+    assert empty.count() == 0 and "shard" in empty.columns
+    again = sharding.shard(df, arrivals=3, rows_per_shard=100, target=20_000)
+    assert sorted(r.doc_id for r in again.collect()) == sorted(r.doc_id for r in df.collect())
+
+
+def test_a_lost_race_is_tried_again(spark, tmp_path, monkeypatch):
+    store = sharding.ShardTable(spark, str(tmp_path / "t"))
+    df = spark.range(10).toDF("doc_id")
+    publish, first = store._publish, []
+
+    def slow(version, text):
+        if not first:
+            first.append(sharding.ShardTable(spark, store.root).append(df))
+        return publish(version, text)
+
+    monkeypatch.setattr(store, "_publish", slow)
+    assert store.append(df) == 2 and first == [1]
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted([*range(10)] * 2)
 
 
 def test_merge_plans():
