@@ -14,7 +14,9 @@ quantile of the sampled training documents of its language have is flagged as
 rejected; so is a text that is null or has no letter, which gets language `und`
 and score 0. Whole texts are read.
 
-Repeated rows each give a row. Training rows without a language or a letter
+Repeated rows each give a row. Ids may be null: rows are sampled by id and text.
+Of centroids with the same cosine the first counts, in the order of languages.
+Other columns are not read and may have any name. Training rows without a language or a letter
 are not used; without any training rows every text is `und`. An empty table
 gives no rows.
 """
@@ -22,8 +24,9 @@ gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlab.llm.common import by_value, table
@@ -39,8 +42,8 @@ SLACK = 1.3
 #: Cosines of texts of fewer different n-grams than this are proportionally (by root) lower, as chance dominates theirs.
 FULL = 600
 UNDETERMINED = "und"
-#: Languages whose counts the driver holds at most.
-MOST_LANGUAGES = 10_000
+#: Languages whose counts are broadcast at most; those of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -129,7 +132,7 @@ def fit(
     training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS,
     per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, slack: float = SLACK,
 ) -> Model:
-    """per_language bounds what the driver gathers; document frequencies come from all training rows."""
+    """per_language bounds what the task that clusters a language gathers; the driver gets centroids only. Document frequencies come from all training rows."""
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
     def frequencies(batches):
@@ -152,35 +155,33 @@ def fit(
             got = [(lang, unit(c, idf)) for lang, c in got if c is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["lang", "vector"])
 
-    sample = sample_of(rows, id_col, lang_col, per_language).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    by_lang: dict[str, list] = {}
-    for lang, vector in sample.mapInArrow(vectors, "lang string, vector binary").collect():  # at most per_language rows a language
-        by_lang.setdefault(lang, []).append(bytes(vector))
-    centres, languages, least = [], [], {}
-    for lang in sorted(by_lang):
-        v = np.frombuffer(b"".join(sorted(by_lang[lang])), dtype=np.float32).reshape(-1, dimensions)
+    sample = sample_of(rows, id_col, text_col, lang_col, per_language)
+
+    def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.frombuffer(b"".join(sorted(map(bytes, pdf["vector"]))), dtype=np.float32).reshape(-1, dimensions)
         own = cluster(v, centroids)
+        least = 1.0 - slack * (1.0 - float(np.quantile(np.minimum(1.0, (v @ own.T).max(axis=1) / reach(v)), LOW)))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centres": [own.astype(np.float32).tobytes()], "least": [least]})
+
+    by_lang = sample.mapInArrow(vectors, "lang string, vector binary").groupBy("lang").applyInPandas(clustered, "lang string, centres binary, least double")
+    centres, languages, least = [], [], {}
+    for lang, raw, cut in sorted((r.lang, bytes(r.centres), r.least) for r in by_lang.collect()):
+        own = np.frombuffer(raw, dtype=np.float32).reshape(-1, dimensions)
         centres.append(own)
         languages += [lang] * len(own)
-        least[lang] = 1.0 - slack * (1.0 - float(np.quantile(np.minimum(1.0, (v @ own.T).max(axis=1) / reach(v)), LOW)))
+        least[lang] = cut
     return Model(idf, np.concatenate(centres) if centres else np.empty((0, dimensions), np.float32), languages, least)
 
 
-def sample_of(rows: DataFrame, id_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """The rows of each language with the lowest hash of their id: a threshold per language from the counts, then an exact cut."""
-    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return rows.limit(0)
-    total = F.create_map(*[F.lit(x) for c in counts for x in c])
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
+def sample_of(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """The rows of each language with the lowest hash of id and text: a threshold per language from the counts, then an exact cut. Columns lang and text."""
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("sample")).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.broadcast(counts) if rows.select("lang").distinct().limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else counts
     # twice the rows that are needed, then the lowest of those: no language meets in one task whole
-    near = rows.withColumn("place", place).where(F.col("place") * F.element_at(total, F.col(lang_col)) <= 2 * per_language)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(lang_col).orderBy("place", id_col)
-    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    near = rows.withColumn("place", F.pmod("h", F.lit(1_000_003)) / 1_000_003.0).join(counts, "lang").where(F.col("place") * F.col("n") <= 2 * per_language)
+    order = Window.partitionBy("lang").orderBy("place", "h")
+    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "text")
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
