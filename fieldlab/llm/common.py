@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlab.operators.ranks import shared_folder
+
 #: Fixed values of the text rules: ASCII white space separates words; only A-Z has a lower case.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -41,14 +42,8 @@ by_value(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("fieldlab.scratch.dir", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="fieldlab-")
-            spark.conf.set("fieldlab.scratch.dir", found)
-    return found.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, in local mode a temporary one."""
+    return shared_folder(spark)
 
 
 class Scratch:

@@ -6,8 +6,8 @@ window. Every document is scanned once: its window hashes are looked up in the
 broadcast set and every hit is verified word by word.
 
 The benchmark is broadcast only if its windows number at most
-`max_broadcast_windows`, which is counted first. Beyond that windows are
-joined by a shuffle, with the same result: of the documents' windows only those
+`max_broadcast_windows` and take MAX_BROADCAST_BYTES, which is looked at first.
+Beyond that windows are joined by a shuffle, with the same result: of the documents' windows only those
 whose hash is in a bitmap of fixed size are shuffled.
 
 Null text has no words; an item without words has no windows. Repeated rows
@@ -26,7 +26,8 @@ from fieldlab.llm.common import LOWER, UPPER, Scratch, by_value, table, with_row
 from fieldlab.llm.words import Words, chunks, windows, words_in
 
 N = 10
-MAX_BROADCAST_WINDOWS = 2_000_000
+MAX_BROADCAST_WINDOWS = 500_000
+MAX_BROADCAST_BYTES = 64 << 20
 #: Bits of the bitmap of window hashes, and of each row it is gathered in (Spark's bitmap functions).
 BITMAP_BITS = 1 << 28
 BITMAP_ROW_BITS = 1 << 15
@@ -111,10 +112,12 @@ class Matcher:
 
 
 def _broadcast_phrases(benchmark: DataFrame, n: int, most: int, id_col: str, text_col: str):
-    """The phrases as a broadcast variable, or None and their table if they are more than `most`."""
+    """The phrases as a broadcast variable, or None and their table if they are more than `most` or longer than MAX_BROADCAST_BYTES."""
     found = item_windows(benchmark, n, id_col, text_col)
-    if len(rows := found.limit(most + 1).collect()) > most:
+    count, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase") + F.octet_length("item")), F.lit(0))).first()
+    if count > most or size > MAX_BROADCAST_BYTES:
         return None, found
+    rows = found.collect()
     phrases: dict[int, dict[bytes, tuple[str, ...]]] = {}
     for size, phrase, item in rows:
         of = phrases.setdefault(size, {})
