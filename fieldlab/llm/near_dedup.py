@@ -188,8 +188,13 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(work, f"node {docs.schema['id'].dataType.simpleString()}, elements binary")
 
 
-def outside(pairs: DataFrame) -> DataFrame:
-    """(node, hub, fact, elements, inside) to (band, node, fact): a band per element outside the hub's set, and one per hub with the part inside it as bound."""
+def outside(pairs: DataFrame, threshold: int) -> DataFrame:
+    """(node, hub, fact, elements, inside) to (band, node, fact): bands of elements outside the hub's set, and one per hub with the part inside it as bound.
+
+    A set of n elements has d = (100 - threshold) % of n at most that a linked
+    one lacks. The least element that two linked sets share outside the hub is
+    among the first d + 1 of either; if they share none, both have d at most.
+    """
     kind = pairs.schema["node"].dataType.simpleString()
 
     def work(batches):
@@ -199,10 +204,12 @@ def outside(pairs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 out = x[y[at] != x]
                 salt = np.uint64(xxhash.xxh3_64_intdigest(str(hub.as_py()).encode()))
-                bands = np.append(mixed(out ^ salt), salt).view(np.int64)
-                n, common = fact["n"].as_py(), fact["common"].as_py()
+                n, common, lacks = fact["n"].as_py(), fact["common"].as_py(), (100 - threshold) * len(x) // 100
+                bands = mixed(out[: lacks + 1] ^ salt)
                 bound = np.full(len(bands), common, dtype=np.int64)
-                bound[-1] = min(common, len(x) - len(out))
+                if len(out) <= lacks:
+                    bands, bound = np.append(bands, salt), np.append(bound, min(common, len(x) - len(out)))
+                bands = bands.view(np.int64)
                 facts = pa.StructArray.from_arrays([pa.array(np.full(len(bands), n, dtype=np.int64)), pa.array(bound)], names=["n", "common"])
                 yield pa.RecordBatch.from_arrays([pa.array(bands), pa.repeat(node, len(bands)), facts], names=["band", "node", "fact"])
 
@@ -295,7 +302,7 @@ def near_duplicates(
         hub = crowded.groupBy("band").agg(F.min(rank)["node"].alias("hub"))
         pairs = crowded.join(hub, "band").select("node", "hub", "fact").distinct()
         both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("elements").alias("inside")), "hub")
-        return outside(both.select("node", "hub", "fact", "elements", "inside"))
+        return outside(both.select("node", "hub", "fact", "elements", "inside"), threshold)
 
     def first_hub(fact: Column) -> Column:
         return 1 - fact["common"] / fact["n"]
