@@ -38,7 +38,7 @@ CENTROIDS = 4
 ROUNDS = 8
 #: A language rejects what lies further away than all but this share of its sample, and this much more.
 LOW = 0.01
-SLACK = 1.3
+SLACK = 1.5
 #: Cosines of texts of fewer different n-grams than this are proportionally (by root) lower, as chance dominates theirs.
 FULL = 600
 UNDETERMINED = "und"
