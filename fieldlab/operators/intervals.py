@@ -57,10 +57,11 @@ def label_by_overlap(
         first = F.greatest(F.floor(F.col(start) / bin_width), F.floor(F.col("_begin") / bin_width)) == F.col("_bin")
         joined = left.join(right, [*keys, "_bin"]).where(overlap & first).drop("_bin")
     ids = [*keys, snippet_id, start, end]
-    found = joined.groupBy(*ids).agg(F.min("_a").alias("_first"), F.array_sort(F.collect_list("_a")).alias("_all"))
-    labels = F.array_distinct(F.concat(F.transform("_all", lambda a: a["label"]), F.flatten(F.transform("_all", lambda a: a["mix"]))))
-    others = F.array_except(labels, F.concat(F.array("_first.label"), F.array(*[F.lit(x) for x in NOISE_LABELS])))
-    found = found.withColumn("_mix", F.when(F.size("_all") > 1, others).otherwise(F.array_except(F.array_distinct("_first.mix"), F.array(*[F.lit(x) for x in NOISE_LABELS]))))
+    heard = F.array_union(F.array("_a.label"), "_a.mix")
+    found = joined.groupBy(*ids).agg(F.min("_a").alias("_first"), F.count(F.lit(1)).alias("_times"), F.collect_set(heard).alias("_heard"))
+    nothing = F.array(*[F.lit(x) for x in NOISE_LABELS])
+    others = F.array_except(F.flatten("_heard"), F.concat(F.array("_first.label"), nothing))
+    found = found.withColumn("_mix", F.when(F.col("_times") > 1, others).otherwise(F.array_except("_first.mix", nothing)))
     rows = base.join(found.select(*keys, snippet_id, start, end, "_first", "_mix"), ids, "left")
     primary = F.when(F.col("_first").isNull() | F.col("_first.label").isin(*NOISE_LABELS), NOISE).otherwise(F.translate(F.col("_first.label"), " ", "_"))
     clean = F.transform(F.coalesce("_mix", F.expr("cast(array() as array<string>)")), lambda x: F.translate(x, " ", "_"))
