@@ -290,10 +290,13 @@ def q96_prediction_log(spark, sf_dir):
     return logs.read_prediction_log(spark, path).select("step", "phase", "position", "pred", "label")
 
 
-@query("SELECT c_nationkey AS epoch, min(c_mktsegment) AS segment, count(*) AS n, round(avg(c_acctbal), 2) AS mean FROM customer GROUP BY c_nationkey")
+@query("""WITH c AS (SELECT c_nationkey AS epoch, min(c_mktsegment) AS segment, count(*) AS n, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents FROM customer GROUP BY c_nationkey)
+SELECT epoch, segment, n, ((2 * cents + n) // (2 * n))::DOUBLE / 100::DOUBLE AS mean FROM c""")
 def q97_run_log(spark, sf_dir):
     """Customers of a nation as an epoch: written as JSON lines under a header and read back."""
-    epochs = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("epoch")).agg(F.min("c_mktsegment").alias("segment"), F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 2).alias("mean"))
+    epochs = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("epoch")).agg(F.min("c_mktsegment").alias("segment"), F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
+    # in whole cents, so that a mean that lies half way is rounded alike everywhere
+    epochs = epochs.select("epoch", "segment", "n", (F.expr("(2 * cents + n) div (2 * n)").cast("double") / 100).alias("mean"))
     path = _folder(spark, "runs")
     logs.write_run_log(epochs, path, "epoch")
     return logs.read_run_log(spark, path, [("epoch", "int"), ("segment", "string"), ("n", "bigint"), ("mean", "double")])
