@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts
+from fieldlab.llm import decontamination, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
 }
 ORACLES = {
     "op2_near_dedup": near_dedup.OP2_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_embedding_dedup": embedding_dedup.OP11_SQL,
 }
