@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts
+from fieldlab.llm import decontamination, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES = {
     "op2_near_dedup": near_dedup.OP2_SQL,

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fieldlab.llm import embedding_dedup as ed
+from fieldlab.llm import whitening as wh
 
 VEC = "vec_id long, embedding array<float>, label int, kept string, node string"  # extra columns with names that results and steps use
 
@@ -78,3 +79,65 @@ def test_whole_intervals_are_counted_not_compared():
     made.unit = None  # a comparison would fail
     links, none, parent = ed.join_intervals(made, made, 0.9)
     assert (links == 300).all() and (none == 0).all() and (ed.roots(parent, np.arange(300)) == 0).all()
+
+
+# ---- whitening ---------------------------------------------------------------------
+def brute_whitened(rows, dims, most=32):
+    """id to (n, deviation, whitened of components) by plain numpy and whole numbers of any size."""
+    good = [(i, whole(v, dims)) for i, v, _ in rows if whole(v, dims) is not None]
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for _, v in good]
+    n = len(x)
+    sums = [sum(col) for col in zip(*x)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(row, sums)) for row in x]
+    z = np.array([[(n * c - s) / n for c, s in zip(row, sums)] for row in x])
+    v = z.T @ z / n
+    e, axes = np.linalg.eigh(v)
+    e, axes = e[::-1][:most], axes[:, ::-1][:, :most]
+    return [i for i, _ in good], n, deviation, z @ axes / np.sqrt(e), e / np.trace(v)
+
+
+def test_whitening(spark):
+    rng = np.random.default_rng(5)
+    rows = [r for r in awkward(rng, 40) if r[1] is None or len(r[1]) != 40 or r[0] is None or not 2000 <= r[0] < 4000]
+    got = wh.whiten(frame(spark, rows))
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    got = got.collect()
+    ids, n, deviation, whitened, explained = brute_whitened(rows, 40)
+    assert len(got) == 32 * len(ids) and {r.n for r in got} == {n} and all(r.identity_error <= 1e-9 for r in got)
+    of = {}
+    for r in got:
+        of.setdefault((r.vec_id, r.deviation), {}).setdefault(r.component, []).append(r.whitened)
+        assert abs(r.explained / explained[r.component - 1] - 1) < 1e-9
+    assert sorted(map(str, of)) == sorted(map(str, set(zip(ids, deviation))))
+    signs = np.ones(32)
+    for k in range(32):
+        first = next(j for j in range(len(ids)) if abs(whitened[j, k]) > 0.1)
+        signs[k] = np.sign(of[ids[first], deviation[first]][k + 1][0] * whitened[first, k])
+    for j, key in enumerate(zip(ids, deviation)):
+        for k in range(32):
+            assert any(abs(v - signs[k] * whitened[j, k]) < 1e-8 for v in of[key][k + 1])
+
+
+def test_whitening_edges(spark):
+    run = lambda rows, **kw: [tuple(r) for r in wh.whiten(frame(spark, rows), **kw).orderBy("vec_id", "component").collect()]
+    assert run([]) == run([(1, None, 1)]) == run([(1, [], 1)]) == run([(1, [math.nan], 1), (2, [1e30], 1)]) == []
+    assert run([(3, [0.5, 1.0], 1)]) == [(3, c, 1, 0, None, None, None) for c in (1, 2)]
+    two = run([(3, [0.5, 1.0], 1), (None, [1.5, 1.0], 1), (None, [1.5, 1.0], 1)])
+    assert [r[:4] for r in two] == [(i, c, 3, d) for i, d in ((None, 64**2), (None, 64**2), (3, 128**2)) for c in (1, 2)] or [r[3] for r in two] == [64**2] * 4 + [128**2] * 2
+    assert all((r[4] is None) == (r[1] == 2) and abs(r[5] - (r[1] == 1)) < 1e-12 and r[6] < 1e-12 for r in two)
+    assert abs(abs(two[-2][4]) - math.sqrt(2)) < 1e-12
+    wide = run([(1, [2.0**50], 1), (2, [-(2.0**50)], 1)])
+    assert [r[3] for r in wide] == [None, None] and all(abs(abs(r[4]) - 1) < 1e-12 for r in wide)
+
+
+def test_eigenvectors_of_clusters():
+    rng = np.random.default_rng(0)
+    q = np.linalg.qr(rng.normal(size=(50, 50)))[0]
+    for values in (np.linspace(1, 2, 50), [5, 5 + 1e-9, 5 + 2e-9, *np.linspace(1, 2, 47)], [1.0] * 10 + [1 + 1e-12] * 10 + list(np.linspace(2, 3, 30)), [0.0] * 30 + list(np.linspace(1, 2, 20)), 10.0 ** np.linspace(-12, 3, 50)):
+        a = q @ np.diag(values) @ q.T
+        a = (a + a.T) / 2
+        e, x = wh.eigenvectors(a)
+        high = np.longdouble
+        assert np.abs(a.astype(high) @ x.astype(high) - x.astype(high) * e.astype(high)).max() < 2e-16 * max(values)
+        assert np.abs(x.T @ x - np.eye(50)).max() < 4e-15 and (np.diff(e) <= 0).all()
+    assert [tuple(map(np.shape, wh.eigenvectors(m))) for m in (np.zeros((3, 3)), np.eye(2))] == [((3,), (3, 3)), ((2,), (2, 2))]
