@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import decontamination, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, whitening
+from fieldlab.llm import decontamination, embedding_dedup, exact_dedup, hard_negatives, language_id, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_near_dedup": near_dedup.OP2_SQL,
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_embedding_dedup": embedding_dedup.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

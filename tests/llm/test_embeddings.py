@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldlab.llm import embedding_dedup as ed
+from fieldlab.llm import hard_negatives as hn
 from fieldlab.llm import whitening as wh
 
 VEC = "vec_id long, embedding array<float>, label int, kept string, node string"  # extra columns with names that results and steps use
@@ -141,3 +143,50 @@ def test_eigenvectors_of_clusters():
         assert np.abs(a.astype(high) @ x.astype(high) - x.astype(high) * e.astype(high)).max() < 2e-16 * max(values)
         assert np.abs(x.T @ x - np.eye(50)).max() < 4e-15 and (np.diff(e) <= 0).all()
     assert [tuple(map(np.shape, wh.eigenvectors(m))) for m in (np.zeros((3, 3)), np.eye(2))] == [((3,), (3, 3)), ((2,), (2, 2))]
+
+
+# ---- hard negatives --------------------------------------------------------------------
+def brute_negatives(rows, dims, anchor):
+    good = [(math.inf if i is None else i, [math.floor(256 * c) for c in whole(v, dims)], label) for i, v, label in rows if label is not None and whole(v, dims) is not None]
+    out = []
+    for i, x, label in good:
+        if i == math.inf or not anchor(i):
+            continue
+        s = [(-sum(p * q for p, q in zip(x, y)), j, other) for j, y, other in good if j != i]
+        s = sorted(t for t in s)
+        positives = [t for t in s if t[2] == label][:5]
+        for p, j, _ in positives:
+            found = [t for t in s if t[2] != label and 80 * -p <= 100 * -t[0] <= 100 * -p][:5]
+            named = lambda v: None if v == math.inf else v
+            out += [(i, named(j), rank, named(k), -p, -q) for rank, (q, k, _) in enumerate(found, 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("dims", "blocks", "least"), [(6, 24, 256), (24, 150, 1)])
+def test_hard_negatives(spark, dims, blocks, least):
+    rows = awkward(np.random.default_rng(8), dims)
+    got = hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0, n_blocks=blocks, least_rows=least)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    want = brute_negatives(rows, dims, lambda i: i % 10 == 0)
+    assert len(want) > 300 and sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_hard_negatives_edges(spark):
+    for rows in ([], [(1, None, 1)], [(0, [], 1)], [(0, [1.0], 1)], [(0, [1.0], None), (1, [1.0], 1)], [(0, [1.0], 1), (2, [1.0], 1), (1, [0.9], 2), (3, [1.1], 2), (5, [0.85], 3)]):
+        got = hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == brute_negatives(rows, 1, lambda i: i % 10 == 0)
+
+
+def test_curve_visits_every_cell_by_single_steps():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        cells = np.array(list(np.ndindex(*[1 << bits] * dims)))
+        key = hn.curve_key(cells, bits)
+        assert sorted(key) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_scores_are_exact():
+    for top in (2**20, 2**27, 2**40, 2**60):
+        a = np.array([[top - 1, -top, 3]], dtype=np.int64)
+        want = (top - 1) ** 2 + top**2 + 9
+        assert hn.scores(a, a)[0, 0] == min(want, 2**63 - 1)
