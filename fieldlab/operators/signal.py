@@ -69,27 +69,69 @@ def bandpass_coefficients(low: float, high: float, sr: int) -> tuple[np.ndarray,
     return np.real(gain * np.poly([1, 1, -1, -1])), np.real(np.poly(z))
 
 
-def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The causal recurrence a * y = b * x; its impulse response has died down after some thousand samples, so blocks are convolved by FFT."""
-    n = 8192
-    impulse = impulse_response(tuple(b), tuple(a), n)
-    size = 1 << (len(x) + n - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(impulse, size), size)[: len(x)]
+#: Samples of a lane: as many lanes as a signal has are filtered side by side.
+LANE = 512
+
+
+def state_matrix(a: np.ndarray) -> np.ndarray:
+    """What a step without input makes of the filter's state."""
+    m = np.diag(np.ones(len(a) - 2), 1)
+    m[:, 0] -= a[1:]
+    return m
 
 
 @lru_cache(maxsize=32)
-def impulse_response(b: tuple[float, ...], a: tuple[float, ...], n: int) -> np.ndarray:
-    """Worked out once per task and sample rate."""
-    b, a = np.array(b), np.array(a)
-    impulse = np.zeros(n)
-    state = np.zeros(len(a) - 1)
-    for i in range(n):
-        u = 1.0 if i == 0 else 0.0
-        impulse[i] = b[0] * u + state[0]
-        state = np.append(state[1:], 0) + b[1:] * u - a[1:] * impulse[i]
-        if i > 64 and np.abs(impulse[i - 64 : i]).max() < 1e-9:
-            break
-    return impulse
+def _free_response(a: tuple[float, ...], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, order): output over n steps without input by state; and what becomes of the state."""
+    m = state_matrix(np.array(a))
+    out, now = np.zeros((n, len(m))), np.eye(len(m))
+    for t in range(n):
+        out[t] = now[0]
+        now = m @ now
+    return out, now
+
+
+def scan_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+    """(output, last state) of the causal recurrence a * y = b * x from a state, at rest by default.
+
+    The signal is cut into lanes that are filtered side by side from rest. A
+    lane's last state is an affine map of its first; a parallel prefix scan
+    composes the maps, and each lane's free response to its first state is
+    added.
+    """
+    order = len(a) - 1
+    lanes = max(1, -(-len(x) // lane))
+    padded = np.zeros(lanes * lane)
+    padded[: len(x)] = x
+    u, z = padded.reshape(lanes, lane).T.copy(), np.zeros((order, lanes))
+    y = np.empty_like(u)
+    for t in range(lane):
+        y[t] = b[0] * u[t] + z[0]
+        z[:-1] = z[1:] + b[1:-1, None] * u[t] - a[1:-1, None] * y[t]
+        z[-1] = b[-1] * u[t] - a[-1] * y[t]
+    free, step = _free_response(tuple(a), lane)
+    first = np.zeros((order, lanes))  # the state each lane begins with
+    first[:, 0] = 0 if state is None else state
+    first[:, 1:] = z[:, :-1]
+    ahead, shift = step, 1
+    while shift < lanes:
+        moved = ahead @ first[:, :-shift]
+        first[:, shift:] += moved
+        ahead, shift = ahead @ ahead, 2 * shift
+    y += free @ first
+    rest = len(x) - (lanes - 1) * lane
+    if rest == lane:
+        last = z[:, -1] + step @ first[:, -1]
+    else:  # the last lane's state before the padding
+        last = first[:, -1]
+        for v in u[:rest, -1]:
+            out = b[0] * v + last[0]
+            last = np.append(last[1:], 0) + b[1:] * v - a[1:] * out
+    return y.T.ravel()[: len(x)], last
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return scan_filter(b, a, x)[0]
 
 
 def filter_band(audio: DataFrame, low: float = LOW_HZ, high: float = HIGH_HZ) -> DataFrame:
@@ -114,17 +156,28 @@ def mel_bank(sr: int, n_fft: int, n_mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum((bins - lo) / (mid - lo), (hi - bins) / (hi - mid))) * 2 / (hi - lo)
 
 
+def mel_power(padded: np.ndarray, sr: int, frames: int, n_mels: int, n_fft: int, hop: int) -> np.ndarray:
+    """(n_mels, frames): mel power of so many windows, a hop apart, of samples that have half a window before the first centre."""
+    if frames <= 0:
+        return np.zeros((n_mels, 0))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop][:frames]
+    power = np.abs(np.fft.rfft(windows * np.hanning(n_fft + 1)[:-1], axis=1)) ** 2
+    return mel_bank(sr, n_fft, n_mels) @ power.T
+
+
+def scaled_image(mel: np.ndarray, loudest: float, faintest: float) -> np.ndarray:
+    """8-bit columns of a recording whose mel power lies in the given range: low frequencies at the bottom, loud dark."""
+    decibel = lambda v: np.maximum(10 * np.log10(np.maximum(v, 1e-10) / max(loudest, 1e-10)), -80)
+    db, lo, hi = decibel(mel), decibel(faintest), decibel(loudest)
+    scaled = (db - lo) / (hi - lo) * 255 if hi > lo else np.zeros_like(db)
+    return 255 - scaled[::-1].astype(np.uint8)
+
+
 def log_mel(x: np.ndarray, sr: int, n_mels: int = N_MELS, n_fft: int = N_FFT, hop: int = HOP) -> np.ndarray:
     """8-bit image: low frequencies at the bottom, loud dark."""
     padded = np.pad(x.astype(np.float64), n_fft // 2, mode="reflect" if len(x) > n_fft // 2 else "constant")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
-    power = np.abs(np.fft.rfft(frames * np.hanning(n_fft + 1)[:-1], axis=1)) ** 2
-    mel = mel_bank(sr, n_fft, n_mels) @ power.T
-    db = 10 * np.log10(np.maximum(mel, 1e-10) / max(mel.max(), 1e-10))
-    db = np.maximum(db, -80)
-    spread = db.max() - db.min()
-    scaled = (db - db.min()) / spread * 255 if spread > 0 else np.zeros_like(db)
-    return 255 - scaled[::-1].astype(np.uint8)
+    mel = mel_power(padded, sr, 1 + len(x) // hop, n_mels, n_fft, hop)
+    return scaled_image(mel, float(mel.max()), float(mel.min()))
 
 
 def spectrograms_of(audio: DataFrame, *, n_mels: int = N_MELS, n_fft: int = N_FFT, hop: int = HOP, band: tuple[float, float] | None = (LOW_HZ, HIGH_HZ)) -> DataFrame:

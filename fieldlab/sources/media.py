@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from fieldlab.functions import scalars as S
 from fieldlab.functions.scalars import map_update
 from fieldlab.functions.shipping import by_value
+from fieldlab.sources.audio_ranges import decode_frames, seconds_to_frames, wav_header
 
 AUDIO = "path string, sr int, samples array<float>, error string"
 AUDIO_HEADER = "path string, sr int, duration double, error string"
@@ -30,19 +31,10 @@ PNG_START = b"\x89PNG\r\n\x1a\n"
 
 # ---- WAV --------------------------------------------------------------------
 def decode_wav(data: bytes, offset: float = 0.0, duration: float | None = None) -> tuple[int, np.ndarray]:
-    """(sample rate, mono samples in -1..1); stereo is averaged."""
-    with wave.open(io.BytesIO(data)) as w:
-        sr, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-        w.setpos(min(w.getnframes(), round(offset * sr)))
-        raw = w.readframes(w.getnframes() if duration is None else round(duration * sr))
-    if width == 1:
-        x = (np.frombuffer(raw, dtype=np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float32) / 2**23
-    else:
-        x = np.frombuffer(raw, dtype={2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(2 ** (8 * width - 1))
-    return sr, x.reshape(-1, channels).mean(axis=1) if channels > 1 else x
+    """(sample rate, mono samples in -1..1); channels are averaged."""
+    head = wav_header(lambda at, n: data[at : at + n], len(data))
+    first, last = seconds_to_frames(head, offset, duration)
+    return head.sr, decode_frames(data[head.begin + first * head.frame : head.begin + last * head.frame], head)
 
 
 def encode_wav(samples: np.ndarray, sr: int) -> bytes:
@@ -63,8 +55,6 @@ def read_audio(files: DataFrame, offset: float = 0.0, duration: float | None = N
             out = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    if not len(data):
-                        raise EOFError("empty file")
                     sr, x = decode_wav(bytes(data), offset, duration)
                     out.append((path, sr, x, None if len(x) else "no samples"))
                 except Exception as e:  # a bad file is a row
@@ -75,15 +65,15 @@ def read_audio(files: DataFrame, offset: float = 0.0, duration: float | None = N
 
 
 def audio_durations(files: DataFrame) -> DataFrame:
-    """(path, sr, duration, error) from the headers alone."""
+    """(path, sr, duration, error) of rows that hold whole files. For files in a store `audio_headers` reads nothing but headers."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    with wave.open(io.BytesIO(bytes(data))) as w:
-                        out.append((path, w.getframerate(), w.getnframes() / w.getframerate(), None))
+                    head = wav_header(lambda at, n, data=data: bytes(data[at : at + n]), len(data))
+                    out.append((path, head.sr, head.frames / head.sr, None))
                 except Exception as e:
                     out.append((path, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "sr", "duration", "error"])
@@ -211,27 +201,6 @@ def write_spectrograms(spectrograms: DataFrame, path: str, partition: str = "spe
     spectrograms.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def export_files(files: DataFrame, folder: str) -> DataFrame:
-    """Writes (path, content) rows as single files under a folder that all executors share; returns (path, written)."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        for pdf in batches:
-            done = []
-            for path, data in zip(pdf["path"], pdf["content"]):
-                target = os.path.join(folder, str(path).lstrip("/"))
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.part-{os.getpid()}"
-                with open(part, "wb") as f:
-                    f.write(data)
-                os.replace(part, target)
-                done.append(target)
-            yield pd.DataFrame({"path": pdf["path"], "written": done})
-
-    return files.select("path", "content").mapInPandas(work, "path string, written string")
-
-
 def update_metadata(spectrograms: DataFrame, entries, replace: bool = False) -> DataFrame:
     """Adds entries (a map column) to meta, or replaces it; the new value of a key wins."""
     return spectrograms.withColumn("meta", entries if replace else map_update(F.coalesce("meta", S.map_clear()), entries))
