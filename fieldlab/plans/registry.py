@@ -73,7 +73,7 @@ def q01_label_by_overlap(spark, sf_dir):
     snippets = users.withColumn("snippet_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / (3 * HOUR)))))
     snippets = snippets.withColumn("start_s", F.col("lo") + F.col("snippet_id") * 3 * HOUR).withColumn("end_s", F.col("start_s") + 6 * HOUR)
     notes = e.where(F.col("event_type").isin("error", "purchase")).select("user_id", F.col("t").alias("begin"), (F.col("t") + 2 * HOUR).alias("finish"), "event_type")
-    out = intervals.label_by_overlap(snippets, notes, keys=["user_id"], start="start_s", end="end_s", label="event_type", mix=None, bin_width=24 * HOUR)
+    out = intervals.label_by_overlap(snippets, notes, keys=["user_id"], start="start_s", end="end_s", label="event_type", mix=None, part_rows=4096)
     return out.withColumn("mix", F.array_join("mix", ","))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,18 +32,53 @@ def test_noise_rows(spark):
     assert [r.label for r in label(spark, [(0, 5)], [(1, 2, "no bird", None)]).collect()] == ["noise"]
 
 
-@pytest.mark.parametrize("width", [None, 7.0])
+@pytest.mark.parametrize("width", [None, 7, 1, 30])
 def test_overlap_equals_brute_force(spark, width):
     rng = random.Random(4)
     sel = [(a := rng.randint(0, 100), a + rng.randint(1, 30), rng.choice("abcd"), None) for _ in range(40)]
     snip = [(a := rng.randint(-5, 120), a + rng.randint(1, 10)) for _ in range(40)]
-    got = {r.snippet_id: (r.label, r.mix) for r in label(spark, snip, sel, bin_width=width).where("is_primary").collect()}
+    got = {r.snippet_id: (r.label, r.mix) for r in label(spark, snip, sel, part_rows=width).where("is_primary").collect()}
     for i, (lo, hi) in enumerate(snip):
         over = sorted(s[:3] for s in sel if s[0] <= hi and s[1] > lo)
         want = (over[0][2], sorted({s[2] for s in over} - {over[0][2]})) if over else ("noise", [])
         assert got[i] == want
 
 
+def test_overlap_in_parts(spark, monkeypatch):
+    """One annotation over all of a long recording costs a row per part; keys, ties, repeats and nulls."""
+    rng = random.Random(9)
+    notes = [("r", 0, 10_000, "week", None)] + [("r", a := rng.randint(0, 10_000), a + rng.randint(0, 20), rng.choice("abcd"), ["m"]) for _ in range(300)]
+    notes += [("q", 5, 9, "q", None), (None, 0, 99, "none", None), ("r", None, 50, "x", None), ("r", 4, None, "x", None), ("s", 1, 2, "s", None)]
+    snips = [("r", i, t := rng.choice([50, 51, rng.randint(-100, 10_100)]), t + rng.randint(0, 15)) for i in range(400)]
+    snips += [("q", 1, 0, 5), ("q", 2, 9, 12), (None, 3, 0, 5), ("r", 9000, None, 7), ("r", 9001, 3, None), ("r", 5, snips[5][2], snips[5][3])]
+    s = spark.createDataFrame(snips, "recording_id string, snippet_id int, start int, end int")
+    n = spark.createDataFrame(notes, "recording_id string, begin int, finish int, species string, mix array<string>")
+    want = sorted(map(str, intervals.label_by_overlap(s, n).collect()))
+    written = []
+    keep = intervals.kept
+    monkeypatch.setattr(intervals, "kept", lambda df, name: written.append((name, out := keep(df, name))) or out)
+    assert sorted(map(str, intervals.label_by_overlap(s, n, part_rows=16).collect())) == want
+    dealt = dict(written)["dealt"]
+    assert dealt.where("_a.label = 'week'").count() <= 26 and dealt.count() < 1500  # 401 snippets are 26 parts
+    assert sorted(map(str, intervals.label_by_overlap(s, n, part_rows=1000).collect())) == want
+    assert intervals.label_by_overlap(s, n.limit(0), part_rows=16).where("label <> 'noise'").count() == 0
+    assert intervals.label_by_overlap(s.limit(0), n, part_rows=16).count() == 0
+
+
+def test_nested_lists():
+    rng = np.random.default_rng(0)
+    for size, spread in ((0, 5), (1, 5), (200, 10), (200, 1000)):
+        begin = rng.integers(0, 100, size).astype(float)
+        finish = begin + rng.integers(0, spread, size)
+        lists = intervals.nested_lists(begin, finish)
+        assert sorted(i for own in lists for i in own) == list(range(size))
+        assert all((np.diff(begin[own]) >= 0).all() and (np.diff(finish[own]) >= 0).all() for own in lists)
+        start = rng.integers(-5, 110, 50).astype(float)
+        end = start + rng.integers(0, 20, 50)
+        at, to = intervals.overlapping(start, end, begin, finish)
+        assert sorted(zip(at, to)) == [(i, j) for i in range(50) for j in range(size) if begin[j] <= end[i] and finish[j] > start[i]]
+
+
 @pytest.mark.parametrize("x,want", [(0, -1), (1, 0), (2, 0), (3, -1), (4, 1), (5, -1), (6, 2), (8, -1)])
 def test_point_in_interval(spark, x, want):
     iv = spark.createDataFrame([(1.0, 3.0, 0), (4.0, 5.0, 1), (6.0, 7.0, 2)], "low double, high double, index int")
@@ -60,6 +96,22 @@ def test_asof(spark):
     assert le == {(1, 5): "a", (1, 7): "b", (2, 1): None} and gt == {(1, 5): "b", (1, 7): "c", (2, 1): None}
 
 
+def test_asof_nulls_and_bins(spark):
+    rng = random.Random(3)
+    some = lambda: rng.choice([None, *range(40)])
+    left = [(i, rng.choice([None, 1, 2]), some()) for i in range(200)]
+    right = [(rng.choice([None, 1, 2, 3]), some(), rng.choice([None, "v"])) for _ in range(60)]
+    right = list({(k, t): (k, t, v and f"{k}:{t}") for k, t, v in right}.values())
+    l, r = spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "k int, t int, v string")
+    for f, after in ((intervals.asof_le, False), (intervals.asof_gt, True)):
+        want = {}
+        for i, k, t in left:
+            fit = [(u, v) for q, u, v in right if q == k and u is not None and v is not None and t is not None and (u > t if after else u <= t)]
+            want[i] = (min(fit) if after else max(fit))[1] if fit else None
+        for bins in (None, F.floor(F.col("t") / 7), F.lit(1)):
+            assert {x.i: x.out for x in f(l, r, on="t", keys=["k"], value="v", out="out", bins=bins).collect()} == want
+
+
 # ---- evaluation --------------------------------------------------------------
 LABELS = [1, 0, 0, 1, 1, 1, 0, 1, 0, 1, 1, 1, 1, 0, 0, 0]
 SCORES = [0.7, 0.3, 0.5, 0.6, 0.55, 0.9, 0.4, 0.2, 0.4, 0.3, 0.7, 0.5, 0.8, 0.2, 0.3, 0.35]
