@@ -55,6 +55,8 @@ def read_audio(files: DataFrame, offset: float = 0.0, duration: float | None = N
             out = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
+                    if data is None:
+                        raise FileNotFoundError(path)
                     sr, x = decode_wav(bytes(data), offset, duration)
                     out.append((path, sr, x, None if len(x) else "no samples"))
                 except Exception as e:  # a bad file is a row

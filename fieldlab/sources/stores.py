@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 from fieldlab.functions.shipping import by_value
 
@@ -31,4 +33,21 @@ def listed(root: str, suffix: str) -> Iterator[tuple[str, int]]:
             yield f.path, f.size
 
 
+def contents(paths: DataFrame) -> DataFrame:
+    """(path) rows to (path, length, content), read in the tasks; a file that is gone has null content."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, inside = store_of(path)
+                try:
+                    with store.open_input_file(inside) as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    data = None
+                yield pa.RecordBatch.from_pydict({"path": [path], "length": pa.array([data and len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    return paths.select("path").mapInArrow(work, "path string, length bigint, content binary")
+
+
 by_value(__name__)

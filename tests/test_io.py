@@ -1,5 +1,7 @@
 import json
 import os
+import shutil
+import time
 
 import numpy as np
 import pytest
@@ -191,15 +193,50 @@ def test_listings(spark, tree, tmp_path):
     assert files.expand_path("~/x").startswith("/")
 
 
-def test_streams(spark, tree, tmp_path):
+def _tally(spark, schema, folder, checkpoint, **options):
+    """The groups' accuracies by batch of one run over what has arrived."""
     seen = []
-    rows = spark.createDataFrame([("r", 0, "training", 1, 1), ("r", 0, "training", 0, 1)], "run_id string, step int, phase string, label int, pred int")
-    rows.write.parquet(str(tmp_path / "preds"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "preds"))
-    jobs.start_tally(stream, lambda df, e: seen.append(df.first().accuracy), str(tmp_path / "ck1")).awaitTermination(60)
-    spark.createDataFrame([("r", 0, "training", 1, 1)] * 2, rows.schema).write.mode("append").parquet(str(tmp_path / "preds"))
-    jobs.start_tally(stream, lambda df, e: seen.append(df.first().accuracy), str(tmp_path / "ck1")).awaitTermination(60)
-    assert seen == [0.5, 0.75]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    assert jobs.start_tally(stream, lambda df, e: seen.append({(r.run_id, r.step): r.accuracy for r in df.collect()}), checkpoint, **options).awaitTermination(120)
+    return [s for s in seen if s]
+
+
+def test_streaming_tally(spark, tmp_path):
+    schema = "run_id string, step int, phase string, label int, pred int"
+    folder, checkpoint = str(tmp_path / "preds"), str(tmp_path / "state")
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    add([("r", 0, "training", 1, 1), ("r", 0, "training", 0, 1), ("q", 0, "training", 1, None)])
+    assert _tally(spark, schema, folder, checkpoint) == [{("r", 0): 0.5}]
+    add([("r", 1, "training", 1, 0)])
+    assert _tally(spark, schema, folder, checkpoint) == [{("r", 1): 0.0}]  # only what has changed
+    add([("r", 0, "training", 1, 1)] * 2 + [("s", 0, "training", 2, 2)])  # late rows, after a restart
+    assert _tally(spark, schema, folder, checkpoint) == [{("r", 0): 0.75, ("s", 0): 1.0}]
+    assert _tally(spark, schema, folder, checkpoint) == []
+
+
+def test_streaming_tally_expires(spark, tmp_path):
+    schema = "run_id string, step int, phase string, label int, pred int"
+    folder, checkpoint = str(tmp_path / "preds"), str(tmp_path / "state")
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    add([("r", 0, "training", 0, 1)])
+    assert _tally(spark, schema, folder, checkpoint, keep_seconds=1) == [{("r", 0): 0.0}]
+    time.sleep(2)
+    add([("s", 0, "training", 1, 1)])
+    assert _tally(spark, schema, folder, checkpoint, keep_seconds=1) == [{("s", 0): 1.0}]
+    add([("r", 0, "training", 1, 1)])
+    assert _tally(spark, schema, folder, checkpoint, keep_seconds=1) == [{("r", 0): 1.0}]  # a new tally
+
+
+def test_streaming_ingest(spark, tree, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "specs")
+    shutil.copytree(tree, source)
     for _ in range(2):  # the second run finds nothing new
-        jobs.start_ingest(spark, tree, str(tmp_path / "specs"), str(tmp_path / "ck2")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "specs")).count() == 4
+        jobs.start_ingest(spark, source, out, str(tmp_path / "ck2")).awaitTermination(120)
+    assert spark.read.parquet(f"{out}/*").count() == 2
+    bad = {os.path.basename(r.path): r.error for r in jobs.quarantined(spark, out).collect()}
+    assert sorted(bad) == ["bad.wav", "empty.wav"]
+    with open(f"{source}/owl/bad.wav", "wb") as f:
+        f.write(media.encode_wav(tone(2000, 1), SR))
+    os.remove(f"{source}/wren/empty.wav")
+    assert [os.path.basename(r.path) for r in jobs.retry_quarantined(spark, out).collect()] == ["empty.wav"]
+    assert sorted(os.path.basename(r.path) for r in spark.read.parquet(f"{out}/*").collect()) == ["a.wav", "b.wav", "bad.wav"]
