@@ -19,8 +19,8 @@ from fieldlab.operators.ranks import kept
 from fieldlab.operators.signal import HIGH_HZ, HOP, LOW_HZ, N_FFT, N_MELS, bandpass_coefficients, mel_power, scaled_image, scan_filter, state_matrix
 
 PIECE = "path string, piece bigint, start bigint, frames bigint, sr int, samples array<float>"
-#: Seconds of a piece where a recording comes whole.
-SECONDS = 10.0
+#: Seconds of a piece where a recording comes whole; entries of arrays in the rows that leave a task together.
+SECONDS, HELD = 10.0, 4_000_000
 
 
 def in_pieces(audio: DataFrame, *, seconds: float = SECONDS, frames: int | None = None) -> DataFrame:
@@ -33,12 +33,19 @@ def in_pieces(audio: DataFrame, *, seconds: float = SECONDS, frames: int | None
 
 
 def _rows(pieces: DataFrame, f: Callable[[dict], dict], schema: str) -> DataFrame:
-    """One row per piece from f(row as dict), a batch's rows one after another."""
+    """One row per piece from f(row as dict); rows leave a few at a time, however many a batch brings."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, held = [], 0
             for row in pdf.to_dict("records"):
-                yield pd.DataFrame([f(row)])
+                out.append(f(row))
+                held += 1000 + sum(len(v) for v in out[-1].values() if isinstance(v, (np.ndarray, bytes)))
+                if held >= HELD:
+                    yield pd.DataFrame(out)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out)
 
     return pieces.mapInPandas(work, schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions import scalars as S
+from fieldlab.functions.permute import permuted
 from fieldlab.operators.ranks import numbered
 
 
@@ -126,6 +127,18 @@ def shuffle(rows: DataFrame, ident: str, seed: int = 42, epoch: int = 0) -> Data
     return rows.orderBy(order_key(seed, ident, epoch), ident)
 
 
+def epoch_order(rows: DataFrame, n: int, *, position: str = "position", replicas: int = 1, batch: int = 1, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """Adds `place`, `replica`, `turn` and `batch` of an epoch's order of chance to rows at positions 0 .. n - 1.
+
+    The order is a keyed permutation of positions that are numbered once, so
+    an epoch neither sorts nor shuffles: every row computes its place, the
+    replica it is dealt to, its turn there and that turn's batch.
+    """
+    placed = rows.withColumn("place", permuted(F.col(position), n, seed, epoch))
+    turn = F.floor(F.col("place") / replicas)
+    return placed.withColumns({"replica": F.pmod("place", F.lit(replicas)).cast("int"), "turn": turn, "batch": F.floor(turn / batch)})
+
+
 def unique_names(files: DataFrame, *, folder: str, name: str, order: str) -> DataFrame:
     """Adds `unique_name`: names repeated in a folder get _r<n> before the suffix from the second on."""
     again = numbered(files, [order], "_n", by=[folder, name])

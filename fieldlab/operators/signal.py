@@ -8,6 +8,7 @@ hash of seed and path, so results repeat.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.functions.shipping import by_value
 from fieldlab.operators.windows import spectrogram_windows
-from fieldlab.sources.media import SPECTROGRAM, read_audio, read_spectrograms
+from fieldlab.sources.media import LUMINANCE, SPECTROGRAM, read_audio, read_spectrograms
 
 LOW_HZ, HIGH_HZ = 500.0, 8000.0
 N_FFT, HOP, N_MELS = 2048, 512, 256
@@ -69,7 +70,7 @@ def bandpass_coefficients(low: float, high: float, sr: int) -> tuple[np.ndarray,
     return np.real(gain * np.poly([1, 1, -1, -1])), np.real(np.poly(z))
 
 
-#: Samples of a lane: as many lanes as a signal has are filtered side by side.
+#: Samples of a lane at most: as many lanes as a signal has are filtered side by side.
 LANE = 512
 
 
@@ -91,7 +92,7 @@ def _free_response(a: tuple[float, ...], n: int) -> tuple[np.ndarray, np.ndarray
     return out, now
 
 
-def scan_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+def scan_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(output, last state) of the causal recurrence a * y = b * x from a state, at rest by default.
 
     The signal is cut into lanes that are filtered side by side from rest. A
@@ -100,6 +101,7 @@ def scan_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray |
     added.
     """
     order = len(a) - 1
+    lane = min(LANE, 1 << (math.isqrt(max(1, len(x))).bit_length() - 1))  # as many steps as lanes, about
     lanes = max(1, -(-len(x) // lane))
     padded = np.zeros(lanes * lane)
     padded[: len(x)] = x
@@ -210,29 +212,57 @@ def create_spectrograms(files: DataFrame, existing: DataFrame | None = None, par
     return good.unionByName(bad)
 
 
+#: Zero crossings of the resampling filter on each side, its window's shape, and the share of the narrower band that passes.
+CROSSINGS, SHAPE, PASS = 64, 10.0, 0.94
+
+
+def resampled(x: np.ndarray, sr: int, new: int) -> np.ndarray:
+    """The signal at another rate, by a windowed sinc that cuts what the narrower band can't hold; one set of weights per phase of the outputs."""
+    if sr == new or not len(x):
+        return x
+    up, down = new // math.gcd(sr, new), sr // math.gcd(sr, new)
+    band = min(1.0, up / down) * PASS
+    half = math.ceil(CROSSINGS / band)
+    padded = np.pad(np.asarray(x, dtype=np.float64), half)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)  # window i is centred at sample i
+    out = np.zeros(-(-len(x) * up // down))
+    for phase in range(min(up, len(out))):
+        at, rest = divmod(phase * down, up)
+        u = np.arange(-half, half + 1) - rest / up
+        weights = band * np.sinc(band * u) * np.i0(SHAPE * np.sqrt(np.maximum(0, 1 - (u / (half + 1)) ** 2))) / np.i0(SHAPE)
+        own = windows[at::down]
+        n = len(out[phase::up])
+        out[phase::up] = own[:n] @ weights
+    return out
+
+
 def mix_background(audio: DataFrame, noises: DataFrame, *, seed: int = 42, longest: float = 5.0) -> DataFrame:
-    """Each signal with one noise, chosen by hash, added at a place and signal-to-noise ratio of chance; the length stays.
+    """Each signal with one noise, chosen by hash, added at a place and signal-to-noise ratio of chance.
 
-    noises (noise_id 0.., sr, samples) is joined by number.
+    Where the rates differ both are resampled to their greatest common
+    divisor, which is then the result's rate; the duration stays. noises
+    (noise_id 0.., sr, samples) is joined by number. A signal whose noise is
+    missing or empty is a row with an error, as all are without noises.
     """
     n = noises.agg(F.count(F.lit(1)).alias("_n"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "path"), F.col("_n"))
-    paired = audio.select("path", "sr", "samples").crossJoin(n).withColumn("noise_id", pick).join(noises.select("noise_id", F.col("sr").alias("noise_sr"), F.col("samples").alias("noise")), "noise_id")
+    pick = F.when(F.col("_n") > 0, F.pmod(F.xxhash64(F.lit(seed), "path"), F.col("_n")))
+    chosen = noises.select("noise_id", F.col("sr").alias("noise_sr"), F.col("samples").alias("noise"))
+    paired = audio.select("path", "sr", "samples").crossJoin(n).withColumn("noise_id", pick).join(chosen, "noise_id", "left")  # n is one row
 
     def f(row: dict) -> dict:
+        if row["noise"] is None or not len(row["noise"]) or pd.isna(row["noise_sr"]):
+            raise ValueError("no noise")
         rng = chance(seed, row["path"])
         x, noise = np.asarray(row["samples"], dtype=np.float64), np.asarray(row["noise"], dtype=np.float64)
-        sr, noise_sr = int(row["sr"]), int(row["noise_sr"])
-        if noise_sr != sr:
-            at = np.arange(int(len(noise) * sr / noise_sr)) * noise_sr / sr
-            noise = np.interp(at, np.arange(len(noise)), noise)
+        sr = math.gcd(int(row["sr"]), int(row["noise_sr"]))
+        x, noise = resampled(x, int(row["sr"]), sr).copy(), resampled(noise, int(row["noise_sr"]), sr)
         size = min(len(x), len(noise), int(longest * sr))
         noise = noise[(s := rng.integers(0, len(noise) - size + 1)) : s + size]
         place, snr = rng.integers(0, len(x) - size + 1), rng.uniform(3, 30)
         loud = np.sqrt((noise**2).mean()) if size else 0.0
         if loud > 0:
             x[place : place + size] += noise * np.sqrt((x**2).mean()) / 10 ** (snr / 20) / loud
-        return {"samples": x.astype(np.float32)}
+        return {"sr": sr, "samples": x.astype(np.float32)}
 
     return map_rows(paired.select("path", "sr", "samples", "noise_sr", "noise"), f, "path string, sr int, samples array<float>, error string")
 
@@ -295,12 +325,32 @@ def slice_snippets(spectrograms: DataFrame, *, window_len: float = 5.0, skip: fl
 
 
 def chop_spectrograms(files: DataFrame, **options) -> DataFrame:
-    """(path, content) of PNG files to their snippets."""
-    return slice_snippets(read_spectrograms(files).where("error IS NULL"), **options)
+    """(path, content) of PNG files to their snippets, with `error`: files that can't be read, or have no duration in their text, are rows that say so."""
+    read = read_spectrograms(files)
+    timed = F.col("meta")["duration"].try_cast("double").isNotNull()
+    made = slice_snippets(read.where("error IS NULL"), **options).withColumn("error", F.lit(None).cast("string"))
+    bad = read.where(F.col("error").isNotNull() | ~F.coalesce(timed, F.lit(False))).select("path", F.coalesce("error", F.lit("ValueError: no duration")).alias("error"))
+    return made.unionByName(bad, allowMissingColumns=True)
+
+
+def resize_weights(size: int, new: int) -> np.ndarray:
+    """(new, size): how much of each old pixel is in each new one. The triangle is as wide as a new pixel when shrinking, so none is skipped."""
+    scale = size / new
+    reach = max(scale, 1.0)
+    centre = (np.arange(new) + 0.5) * scale
+    w = np.maximum(0, 1 - np.abs(np.arange(size)[None, :] + 0.5 - centre[:, None]) / reach)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """(height, width, channels) of an 8-bit image: across, then down, each in whole steps, as image libraries do."""
+    whole = lambda v: np.clip(np.floor(np.round(v, 9) + 0.5), 0, 255)  # noqa: E731  halves are halves, however they were summed
+    across = whole(np.einsum("wx,hxc->hwc", resize_weights(image.shape[1], width), image)) if width != image.shape[1] else image
+    return whole(np.einsum("hy,ywc->hwc", resize_weights(image.shape[0], height), across)) if height != image.shape[0] else across
 
 
 def resize_normalize(spectrograms: DataFrame, height: int = 400, width: int = 400, mean: float | Sequence[float] = 0.5, std: float | Sequence[float] = 0.5, channels: int = 1, gray: bool = False) -> DataFrame:
-    """(path, values): bilinear to the size, scaled to 0..1, then (x - mean) / std, row by row, of each channel its own.
+    """(path, values): resized with antialiasing, scaled to 0..1, then (x - mean) / std, row by row, of each channel its own.
 
     channels: values per pixel, side by side. gray: the channels' luminance
     (of three) or mean becomes the only one.
@@ -309,15 +359,8 @@ def resize_normalize(spectrograms: DataFrame, height: int = 400, width: int = 40
     def f(row: dict) -> dict:
         image = np.frombuffer(row["pixels"], dtype=np.uint8).reshape(int(row["height"]), int(row["width"]), channels).astype(np.float64)
         if gray:
-            image = image @ (np.array([0.299, 0.587, 0.114]) if channels == 3 else np.full(channels, 1 / channels))[:, None]
-        y = np.clip((np.arange(height) + 0.5) * image.shape[0] / height - 0.5, 0, image.shape[0] - 1)
-        x = np.clip((np.arange(width) + 0.5) * image.shape[1] / width - 0.5, 0, image.shape[1] - 1)
-        y0, x0 = y.astype(int), x.astype(int)
-        y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
-        fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-        top = image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx
-        low = image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx
-        return {"values": (((top * (1 - fy) + low * fy) / 255 - np.asarray(mean)) / np.asarray(std)).ravel().astype(np.float32)}
+            image = image @ (np.array(LUMINANCE) if channels == 3 else np.full(channels, 1 / channels))[:, None]
+        return {"values": ((resized(image, height, width) / 255 - np.asarray(mean)) / np.asarray(std)).ravel().astype(np.float32)}
 
     return map_rows(spectrograms.select("path", "height", "width", "pixels"), f, "path string, values array<float>, error string")
 
@@ -329,7 +372,7 @@ def augment_audio(planned: DataFrame, *, noises: DataFrame | None = None, seed:
         each = planned.where("method = 'add_bg'").withColumn("path", F.to_json(F.array("path", F.col("slot").cast("string"))))
         mixed = mix_background(each, noises, seed=seed).withColumn("_of", F.from_json("path", "array<string>"))
         mixed = mixed.select(F.col("_of")[0].alias("path"), F.col("_of")[1].cast("long").alias("slot"), F.lit("add_bg").alias("method"), "sr", "samples", "error")
-        return augment_audio(planned.where("method <> 'add_bg'"), seed=seed).unionByName(mixed)
+        return augment_audio(planned.where("NOT method <=> 'add_bg'"), seed=seed).unionByName(mixed)
 
     def f(row: dict) -> dict:
         rng = chance(seed, f"{row['path']}:{row['slot']}")
@@ -350,7 +393,7 @@ def augment_images(planned: DataFrame, *, longest: int = 15, seed: int = 42) ->
     each = planned.withColumn("path", F.to_json(F.array("path", F.col("slot").cast("string"))))
     of = lambda name: each.where(F.col("method") == name).select("path", "height", "width", "pixels", "meta")
     known = {"freq_mask": mask_stripes(of("freq_mask"), "freq", longest, seed=seed), "time_mask": mask_stripes(of("time_mask"), "time", longest, seed=seed), "noise": add_noise(of("noise"), seed=seed)}
-    bad = each.where(~F.col("method").isin(*known)).select("path", "method", "height", "width", "pixels", F.concat(F.lit("unknown method "), "method").alias("error"))
+    bad = each.where(~F.coalesce(F.col("method").isin(*known), F.lit(False))).select("path", "method", "height", "width", "pixels", F.concat(F.lit("unknown method "), F.coalesce("method", F.lit("None"))).alias("error"))
     for name, made in known.items():
         bad = bad.unionByName(made.select("path", F.lit(name).alias("method"), "height", "width", "pixels", "error"))
     named = bad.withColumn("_of", F.from_json("path", "array<string>"))

@@ -150,9 +150,9 @@ def q79_lookup_samples(spark, sf_dir):
     return lookups.lookup_samples(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id")), index)
 
 
-@query(f"WITH {_SAMPLES} SELECT sample_id, path FROM s WHERE class_name = 'src0' AND sample_id IN (SELECT doc_id FROM labels)")
+@query(f"WITH {_SAMPLES} SELECT sample_id, path FROM s WHERE class_name = 'src' || sample_id % 10 AND sample_id IN (SELECT doc_id FROM labels)")
 def q80_requested_samples(spark, sf_dir):
-    pairs = table(spark, sf_dir, "labels").select(F.lit("src0").alias("class_name"), F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("file_name"))
+    pairs = table(spark, sf_dir, "labels").select(F.concat(F.lit("src"), (F.col("doc_id") % 10).cast("string")).alias("class_name"), F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("file_name"))
     return lookups.requested_samples(_samples(spark, sf_dir), pairs).select("sample_id", "path")
 
 
@@ -225,11 +225,13 @@ def q90_weighted_loss(spark, sf_dir):
     return _rounded(evaluate.weighted_loss(_predictions(spark, sf_dir), weights), "mean_loss", digits=6)
 
 
-@query(f"""WITH {_ITEMS}, a AS (SELECT truth, pred, n FROM m WHERE step = 1), b AS (SELECT truth, pred, n FROM m WHERE step = 2)
-SELECT coalesce(a.truth, b.truth) AS truth, coalesce(a.pred, b.pred) AS pred, a.n::BIGINT AS left, b.n::BIGINT AS right FROM a FULL JOIN b ON a.truth = b.truth AND a.pred = b.pred WHERE a.n IS DISTINCT FROM b.n""")
+@query(f"""WITH {_ITEMS}, b AS (SELECT step - 1 AS step, truth, pred, n FROM m)
+SELECT coalesce(a.step, b.step) AS step, coalesce(a.truth, b.truth) AS truth, coalesce(a.pred, b.pred) AS pred, a.n::BIGINT AS left, b.n::BIGINT AS right
+FROM m a FULL JOIN b ON a.step = b.step AND a.truth = b.truth AND a.pred = b.pred WHERE a.n IS DISTINCT FROM b.n""")
 def q91_cell_differences(spark, sf_dir):
+    """Every step's confusion matrix against the next one's."""
     matrices = evaluate.confusion_counts(_line_items(spark, sf_dir), ["step"])
-    return lookups.cell_differences(matrices.where("step = 1"), matrices.where("step = 2"), ["truth", "pred"], "n")
+    return lookups.cell_differences(matrices, matrices.withColumn("step", F.col("step") - 1), ["step", "truth", "pred"], "n")
 
 
 # ---- orders and plans -------------------------------------------------------

@@ -689,4 +689,4 @@ def q64_truth_totals(spark, sf_dir):
     return evaluate.truth_totals(evaluate.confusion_matrix(_predictions(spark, sf_dir), _classes(spark)))
 
 
-from fieldlab.plans import more_queries  # noqa: E402, F401  it registers its queries with the decorator above
+from fieldlab.plans import more_queries, signal_queries  # noqa: E402, F401  they register their queries with the decorator above
