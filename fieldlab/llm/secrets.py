@@ -68,14 +68,28 @@ def joined_words(run: str, encode) -> bool:
     return sum(map(len, groups)) >= WORD_CHARS * len(groups) and all(any(len(encode(x)) == 1 for x in (g, f" {g}", g.lower(), f" {g.lower()}")) for g in groups)
 
 
+def joined_spans(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What spans in order of their starts cover, as disjoint spans."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def inefficient_spans(text: str, encode, taken: list[tuple[str, int, int]], max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
     """Runs of key characters that the vocabulary spends a token on every few characters for."""
     out = []
     if max(map(len, text.split()), default=0) < MIN_CHARS:
         return out
+    taken, at = joined_spans(taken), 0
     for m in RUN.finditer(text):
         run = m[0]
-        if NUMBER.match(run) or DATES.match(run) or DIGEST.match(run) or UUID.match(run) or any(a < m.end() and m.start() < b for _, a, b in taken):
+        while at < len(taken) and taken[at][1] <= m.start():  # runs and spans both come in order
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end() or NUMBER.match(run) or DATES.match(run) or DIGEST.match(run) or UUID.match(run):
             continue
         if len(run) <= max_ratio * sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE)) and not joined_words(run, encode):
             out.append(("random", m.start(), m.end()))
