@@ -273,7 +273,15 @@ def near_duplicates(
     longs = bands * slots // 32
 
     member = shared_buckets(classes.select(F.explode("bands").alias("band"), "node", F.col("n").alias("fact")), scratch)
-    sets = scratch.keep(full_sets(texts.join(member.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), k), "sets")
+    # rows that repeat an id would each bring its set; where there are some, one of each different set stays
+    nodes = member.select(F.col("node").alias("id")).distinct()
+    again = scratch.keep(usable.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "again")
+    if again.isEmpty():
+        sets = full_sets(texts.join(nodes, "id", "left_semi"), k)
+    else:
+        once, often = nodes.join(again, "id", "left_anti"), nodes.join(again, "id", "left_semi")
+        sets = full_sets(texts.join(once, "id", "left_semi"), k).unionByName(full_sets(texts.join(often, "id", "left_semi"), k).distinct())
+    sets = scratch.keep(sets, "sets")
     # of each set, the shingles that others have: what an intersection can hold at most
     alone = elements(sets).groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     facts = member.select("node", F.col("fact").alias("n")).distinct().join(alone, "node", "left").select("node", F.struct("n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")).alias("fact"))
