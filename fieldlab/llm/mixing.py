@@ -93,17 +93,25 @@ def mix(
     """One row per document: id, size, source_size, target, taken, blocks of its source, and by_shard: the words taken for each shard.
 
     bucket_digits: hex digits of the seeded key that make the buckets within a
-    source; 16 ** bucket_digits buckets are summed per source.
+    source; 16 ** bucket_digits buckets are summed per source, and as many for
+    each id that is null or repeated.
     row_col: a key of the rows, unique and never null. It is added to the
     result, as ids may be null or repeated, and orders rows of the same id and size.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), (F.col(row_col) if row_col else F.lit(0)).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("content"), (F.col(row_col) if row_col else F.lit(0)).alias("row"))
     # a source's name as a key that is never null
     rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("bucket", F.substring("key", 1, bucket_digits))
-    rows = Scratch(spark, "mix").keep(rows, "sizes")
+    scratch = Scratch(spark, "mix")
+    rows = scratch.keep(rows, "sizes")
+    # many rows of one id, or without one, would be one bucket: they have buckets by content, after those that share their first digits
+    again = scratch.keep(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
+    spread = F.col("doc_id").isNull()
+    if not again.isEmpty():
+        rows, spread = rows.join(again, "doc_id", "left"), spread | F.col("rows").isNotNull()
+    rows = rows.withColumn("bucket", F.when(spread, F.concat("key", F.substring("content", 1, bucket_digits))).otherwise(F.col("bucket"))).drop("rows")
 
     buckets = rows.groupBy("name", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     within = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +120,7 @@ def mix(
     quotas = apportion(targets(sources.select("source", "source_size"), weights, cap), block_words, shards)
     quotas = quotas.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
 
-    order = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "content", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["name", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     full = placed.join(quotas.select("name", "source_size", "target", "blocks", "ends"), "name")
 
