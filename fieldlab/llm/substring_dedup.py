@@ -222,7 +222,15 @@ def repeated_spans(
     sent = content.join(several, "m").withColumn("shard", F.pmod(F.xxhash64("m", F.pmod(F.col("c"), F.col("parts"))), F.lit(shards)))
     asked = sent.groupBy("row").agg(F.collect_list(F.struct("m", "c", "weight", "first", "n", "parts", "shard")).alias("asked"))
     wanted = piece.select("row").distinct().join(asked, "row", "left").join(lead.select("row", "words_key", "key"), "row")
-    found = scratch.keep(texts.select("key", "text").join(wanted, "key").select("row", "words_key", "text", "asked"), "candidates")
+    # repeated rows would each be found for the one that stands for them
+    again = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "again")
+    if again.isEmpty():
+        found = texts.select("key", "text").join(wanted, "key")
+    else:
+        once = texts.select("key", "text").join(wanted.join(again, "key", "left_anti"), "key")
+        often = texts.select("key", "text").join(again, "key", "left_semi").distinct().join(wanted.join(again, "key", "left_semi"), "key")
+        found = once.unionByName(often)
+    found = scratch.keep(found.select("row", "words_key", "text", "asked"), "candidates")
 
     def contents(batches):
         for batch in batches:
@@ -267,7 +275,7 @@ def repeated_spans(
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), kind, pa.int64(), pa.string()))], names=["row", "spans", "n_removed", "sha"])
 
     removed = found.select("row", "words_key", "text").join(marks, "row").mapInArrow(removal, "row bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, sha string")
-    # rows with the same id and the same words were found twice
+    # rows with the same id and the same words, but other white space, have other keys; a hash may be shared
     removed = removed.groupBy("row").agg(F.min(F.struct("spans", "n_removed", "sha")).alias("r")).join(classes.select("row", "words_key"), "row").select("words_key", "r.*")
     out = rows.select("id", "n_words", "words_key", "words_sha256").join(removed, "words_key", "left")
     return out.select(
