@@ -18,7 +18,9 @@ others are removed. Blank lines always stay.
    rest goes through bit vectors of the band of 2 * edits + 1 diagonals, one
    step per character.
 5. Crowded buckets are split by those counts: of 2 * edits + 1 groups of
-   letters at least one has the same counts in lines that are linked.
+   letters at least one has the same counts in lines that are linked. Where
+   most lines of a bucket have the same counts, as log lines that differ in
+   digits do, it is split by what lines have besides the bucket's hub.
 
 Null text has no lines. Lines are told apart by their text, then by number and
 MD5. Very long lines take time in proportion to their length. Repeated rows
@@ -39,6 +41,8 @@ LEAST = 20
 #: Buckets of more lines are split by the counts of groups of these characters.
 CROWD = 256
 COUNTED = "etaoinsrhldcumfpgwybvkxjqz "
+#: Characters of a run; levels on which buckets may be split by counts; lines per different counts, above which they aren't; levels at most.
+GRAM, COUNT_LEVELS, ALIKE, LEVELS = 4, 2, 4, 5
 #: Lines in shared buckets that are looked up by a broadcast; more are looked up by a shuffled join.
 MOST_BROADCAST = 5_000_000
 
@@ -81,6 +85,42 @@ def by_counts(crowded: DataFrame, level: int, edits: int) -> DataFrame:
     return crowded.select(F.explode(F.array(*keys)).alias("band"), "node", "fact")
 
 
+def grams(line: Column) -> Column:
+    """Hashes of the different runs of GRAM characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line) - (GRAM - 1))), lambda i: F.xxhash64(F.substring(line, i, F.lit(GRAM)))))
+
+
+def by_grams(crowded: DataFrame, level: int, near: DataFrame, edits: int) -> DataFrame:
+    """Of (band, node, fact) finer buckets by the runs of characters that lines have and their bucket's hub has not.
+
+    An edit takes GRAM runs at most from a line, so a linked line lacks t =
+    GRAM * edits of them at most. Runs are ordered by how many lines of the
+    bucket have them, rare ones first. The first run that two linked lines
+    share outside the hub is among the first t + 1 of either; if they share
+    none, both have t at most, and such lines are a bucket of their own.
+    """
+    lacks = GRAM * edits
+    rank = F.struct(F.when(F.col("fact.own"), 0).otherwise(1).alias("first"), F.xxhash64("node", F.lit(level)).alias("p"), "node")
+    hub = crowded.groupBy("band").agg(F.min(rank)["node"].alias("hub"))
+    own = crowded.join(hub, "band").join(near.select("node", grams(F.col("line")).alias("x")), "node")
+    both = own.join(near.select(F.col("node").alias("hub"), grams(F.col("line")).alias("y")), "hub")
+    each = both.select("band", "node", "fact", F.explode_outer(F.array_except("x", "y")).alias("g"))
+    often = each.where("g IS NOT NULL").groupBy("band", "g").agg(F.count(F.lit(1)).alias("times"))
+    runs = each.join(often, ["band", "g"], "left").groupBy("band", "node").agg(F.first("fact").alias("fact"), F.array_sort(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("times", "g")))).alias("g"))  # runs of a line
+    keys = F.filter(F.slice("g", 1, lacks + 1), lambda x: x["times"] > 1)["g"]
+    few = F.when(F.size("g") <= lacks, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return runs.select("band", "node", "fact", F.explode(F.concat(keys, few)).alias("g")).select(F.xxhash64("band", "g", F.lit(level)).alias("band"), "node", "fact")
+
+
+def finer(crowded: DataFrame, level: int, near: DataFrame, edits: int) -> DataFrame:
+    """By counts where these tell lines apart, else by runs of characters."""
+    if level > COUNT_LEVELS:
+        return by_grams(crowded, level, near, edits)
+    alike = crowded.groupBy("band").agg((F.approx_count_distinct(F.xxhash64("fact.counts"), 0.1) * ALIKE < F.count(F.lit(1))).alias("alike"))
+    told = crowded.join(alike, "band")
+    return by_counts(told.where("NOT alike").drop("alike"), level, edits).unionByName(by_grams(told.where("alike").drop("alike"), level, near, edits))
+
+
 def let(value: Column, then) -> Column:
     """then(value) with the value worked out once, however often it is used."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -185,7 +225,7 @@ def line_components(docs: DataFrame, scratch: Scratch, text_col: str, edits: int
     def index_first(fact: Column) -> Column:
         return F.when(fact["own"], 0).otherwise(1)
 
-    found = link_components(member, compatible, verified, scratch, priority=index_first, refine=lambda crowded, level: by_counts(crowded, level, edits), small_bucket=crowd)
+    found = link_components(member, compatible, verified, scratch, priority=index_first, refine=lambda crowded, level: finer(crowded, level, near, edits), small_bucket=crowd, levels=LEVELS)
     return found.join(near.select("node", "same"), "node").select("same", "component")
 
 

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from fieldlab.llm import common, mixing, near_dedup, secrets, substring_dedup
+from fieldlab.llm import common, line_dedup, mixing, near_dedup, secrets, substring_dedup
 from tests.llm.test_near_dedup import brute
 
 DOC = "doc_id long, text string, source string"
@@ -89,3 +89,44 @@ def test_taken_spans_are_joined():
         spans = sorted((("hex", a := rng.randint(0, 50), a + rng.randint(1, 9)) for _ in range(rng.randint(0, 12))), key=lambda s: s[1])
         joined = secrets.joined_spans(spans)
         assert sorted({i for _, a, b in spans for i in range(a, b)}) == [i for a, b in joined for i in range(a, b)]
+
+
+@pytest.mark.parametrize("crowd", [256, 16])
+def test_lines_that_differ_in_digits(spark, tables, crowd):
+    """Pairs grow with the lines and not with their square; links among such lines are found."""
+    rng = random.Random(6)
+    line = lambda a, b: f"request {a:08d} finished after {b:08d} steps on host alpha beta gamma"
+    tested = []
+    for n in (500, 2000):
+        tables.clear()
+        lines = [line(rng.randint(0, 10**8 - 1), rng.randint(0, 10**8 - 1)) for _ in range(n)]
+        copies = [s.replace("finished", "finishd").replace("alpha", "alphaa") if i % 2 else s[:10] + "x" + s[11:] for i, s in enumerate(lines[:20])]
+        docs = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+        got = line_dedup.line_dedup(docs, crowd=crowd).where("n_removed > 0").collect()
+        close = {n + i for i in range(20)}
+        assert {r.doc_id for r in got} == close
+        tested.append(sum(t.count() for t in tables["pairs"]))
+    assert tested[0] < 20 * 500 and tested[1] < 20 * 2000
+
+
+def test_runs_outside_the_hub_keep_linked_lines_together(spark):
+    rng = random.Random(7)
+    letters = "abc 12"
+    base = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(12)]
+
+    def edited(s):
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice(letters) + s[i:], s[:i] + rng.choice(letters) + s[i + 1 :]])
+        return s
+
+    pairs = [(s, edited(s)) for s in base for _ in range(10)]
+    lines = sorted({s for p in pairs for s in p})
+    node = {s: i for i, s in enumerate(lines)}
+    near = spark.createDataFrame([(i, s) for s, i in node.items()], "node long, line string")
+    crowded = near.selectExpr("1L AS band", "node", "named_struct('own', true) AS fact")
+    for level in (1, 2, 3):
+        buckets = {}
+        for r in line_dedup.by_grams(crowded, level, near, 2).collect():
+            buckets.setdefault(r.node, set()).add(r.band)
+        assert all(buckets[node[x]] & buckets[node[y]] for x, y in pairs)
