@@ -102,14 +102,15 @@ def test_filters_and_mixing(spark):
     assert all(abs(max(r.samples) - 1) < 1e-6 for r in signal.filter_band(audio).collect())
     noises = spark.createDataFrame([(0, SR // 2, tone(300, 3, SR // 2).tolist())], "noise_id bigint, sr int, samples array<float>")
     mixed = {r.path: r for r in signal.mix_background(audio, noises).collect()}
-    assert len(mixed["lo"].samples) == 2 * SR and mixed["lo"].samples != audio.first().samples and mixed["lo"].error is None
+    # both rates become their greatest common divisor, and the duration stays
+    assert (mixed["lo"].sr, len(mixed["lo"].samples)) == (SR // 2, 2 * (SR // 2)) and mixed["lo"].samples != audio.first().samples and mixed["lo"].error is None
     plan = audio.withColumn("slot", F.lit(1).cast("long")).withColumn("method", F.when(F.col("path") == "lo", "volume").otherwise("nothing"))
     done = signal.augment_audio(plan).join(audio.select("path", F.lit("c").alias("class_name")), "path")
     report = signal.augmentation_report(done).first()
     assert (report.succeeded, report.failed) == (1, 1)
     planned = audio.withColumn("slot", F.lit(2).cast("long")).withColumn("method", F.lit("add_bg"))
     mixed = {r.path: r for r in signal.augment_audio(planned, noises=noises).collect()}
-    assert mixed["lo"].slot == 2 and mixed["lo"].error is None and len(mixed["lo"].samples) == 2 * SR
+    assert mixed["lo"].slot == 2 and mixed["lo"].error is None and len(mixed["lo"].samples) == 2 * (SR // 2)
 
 
 def test_image_augmentation_and_chopping(spark):
