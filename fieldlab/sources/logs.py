@@ -23,7 +23,7 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prediction_log(predictions: DataFrame) -> DataFrame:
-    """The table of a prediction log: one row per step, lists as text in the order of position."""
+    """The table of a prediction log: one row per step, lists as text in the order of position. The format has all predictions of a step in one row, so they meet in one task."""
     lists = lambda c, p: F.to_json(F.transform(F.array_sort(F.collect_list(F.when(F.col("phase") == p, F.struct("position", c)))), lambda x: x[c]))
     columns = [lists(c, long).alias(f"{short}_{c}s") for short, long in PHASES.items() for c in ("pred", "label")]
     return predictions.groupBy(F.col("step").alias("epoch")).agg(*columns).orderBy("epoch")
@@ -52,16 +52,22 @@ def write_run_log(rows: DataFrame, path: str, order: str) -> None:
     header.unionByName(body).orderBy("_a", "_o").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
-def read_confusion_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(truth, pred, n): a square matrix with or without a comma before the header's labels; field 0 names the row."""
+def read_confusion_csv(spark: SparkSession, path: str, *, file_col: str | None = None) -> DataFrame:
+    """(truth, pred, n): square matrices with or without a comma before the header's labels; field 0 names the row.
+
+    Each file is a matrix with a header of its own. file_col: a column with
+    the file's name, to tell several apart.
+    """
     raw = spark.read.text(path).where(F.trim("value") != "")
     cells = F.transform(F.split("value", ","), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
-    numbered = raw.select(F.monotonically_increasing_id().alias("_i"), cells.alias("c"))
-    header = numbered.agg(F.min_by("c", "_i").alias("h"), F.max(F.size("c")).alias("w"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    lines = raw.select(F.col("_metadata.file_path").alias("_file"), place.alias("_i"), cells.alias("c"))
+    header = lines.groupBy("_file").agg(F.min_by("c", "_i").alias("h"), F.min("_i").alias("_first"), F.max(F.size("c")).alias("w"))
     labels = F.slice(F.col("h"), F.size("h") - F.col("w") + 2, F.col("w") - 1)
-    rows = numbered.crossJoin(header)  # one row
-    body = rows.where(F.col("c") != F.col("h")).select(F.element_at("c", 1).alias("truth"), F.explode(F.arrays_zip(labels.alias("pred"), F.slice("c", 2, F.col("w") - 1).alias("n"))).alias("x"))
-    return body.select("truth", F.col("x.pred").alias("pred"), F.col("x.n").cast("double").alias("n"))
+    body = lines.join(header, "_file").where(F.col("_i") != F.col("_first"))
+    each = body.select("_file", F.element_at("c", 1).alias("truth"), F.explode(F.arrays_zip(labels.alias("pred"), F.slice("c", 2, F.col("w") - 1).alias("n"))).alias("x"))
+    named = [F.regexp_extract("_file", "([^/]+)$", 1).alias(file_col)] if file_col else []
+    return each.select(*named, "truth", F.col("x.pred").alias("pred"), F.col("x.n").cast("double").alias("n"))
 
 
 def metric_rows(summary: DataFrame, class_scores: DataFrame | None = None) -> DataFrame:

@@ -178,6 +178,9 @@ def test_logs(spark, tmp_path):
         (tmp_path / f"m{i}.csv").write_text(text)
         cells = {(r.truth, r.pred): r.n for r in logs.read_confusion_csv(spark, str(tmp_path / f"m{i}.csv")).collect()}
         assert len(cells) == 9 and cells["bar", "fum"] == 6
+    (tmp_path / "m2.csv").write_text("x,y\nx,1,2\ny,3,4\n")
+    both = logs.read_confusion_csv(spark, str(tmp_path / "m*.csv"), file_col="file")
+    assert {r.file: r.n for r in both.groupBy("file").agg(F.sum("n").alias("n")).collect()} == {"m0.csv": 45, "m1.csv": 45, "m2.csv": 10}
     summary = evaluate.summary_scores(evaluate.confusion_counts(p))
     logs.write_metric_csv(summary, str(tmp_path / "metrics"), evaluate.class_scores(evaluate.confusion_counts(p)))
     assert spark.read.csv(str(tmp_path / "metrics"), header=True).where("measure = 'accuracy'").count() == 1
