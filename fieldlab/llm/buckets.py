@@ -8,7 +8,8 @@ components; buckets that still hold more than one component go round again:
 - members of large ones are dealt to finer buckets, if the caller knows any,
   and those of finer ones that are still large to finer ones again;
 - in what is large after some such levels, members outside the largest
-  component become hubs, a number at a time;
+  component become hubs: all of them where they are few, else a number at a
+  time;
 
 until each pair in a bucket is in one component or was verified. No link
 between components is lost, and pairs within a component are never formed.
@@ -85,18 +86,22 @@ def link_components(
         small = now.where(F.col("size") <= small_bucket).join(other, "band").where((F.col("c") < F.col("cb")) & compatible(F.col("fact"), F.col("fb"))).select(F.col("node").alias("a"), "b")
         large = now.where(F.col("size") > small_bucket)
         if refine is not None and turn <= levels:
-            finer = shared_buckets(refine(large.select("band", "node", "fact"), turn), scratch)
+            dealt = scratch.keep(refine(large.select("band", "node", "fact"), turn), "dealt")
+            finer = shared_buckets(dealt, scratch)
+            scratch.drop(dealt)
             large = large.limit(0)
         else:
             finer = None
         salt = F.pmod(F.xxhash64("node", F.lit(-turn)), F.lit(hubs)).alias("salt")
         # members outside the bucket's largest component: once they have met all others nothing is open
-        held = large.groupBy("band", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("c", F.struct("held", "c")).alias("major"))
+        held = large.groupBy("band", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("band").agg(F.max_by("c", F.struct("held", "c")).alias("major"), (F.sum("held") - F.max("held")).alias("outside"))
+        outside = large.join(held, "band").where("c <> major")
+        few = outside.where(F.col("outside") <= 2 * hubs).select("band", "node", "fact", "c", F.lit(True).alias("all"))
         # the component travels with the hub: only members of others are paired with it
-        hub = large.join(held, "band").where("c <> major").withColumn("fact_c", F.struct("fact", "c")).groupBy("band", salt).agg(
+        some = outside.where(F.col("outside") > 2 * hubs).withColumn("fact_c", F.struct("fact", "c")).groupBy("band", salt).agg(
             F.min(F.struct((F.lit(0) if priority is None else priority(F.col("fact"))).alias("first"), F.xxhash64("node", F.lit(turn)).alias("p"), "node", "fact_c")).alias("h")
-        ).select("band", "h.node", "h.fact_c.fact", "h.fact_c.c")
-        hub = scratch.keep(hub, "hubs")
+        ).select("band", "h.node", "h.fact_c.fact", "h.fact_c.c", F.lit(False).alias("all"))
+        hub = scratch.keep(few.unionByName(some), "hubs")
         met = hub.select("band", F.col("node").alias("b"), F.col("fact").alias("fb"), F.col("c").alias("cb"))
         spread = large.join(met, "band").where((F.col("c") != F.col("cb")) & compatible(F.col("fact"), F.col("fb"))).select(F.col("node").alias("a"), "b")
         fresh = scratch.keep(_tidy(small.unionByName(spread)).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -108,7 +113,7 @@ def link_components(
         if finer is not None:
             member = finer
             continue
-        if hub.isEmpty():  # small buckets are settled after one turn
+        if hub.where("NOT all").isEmpty():  # small buckets, and those whose hubs were all there are, are settled after one turn
             return found
         done = hub.select("band", "node")
         used = done if used is None else used.unionByName(done)

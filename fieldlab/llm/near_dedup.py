@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 good.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return with_b.mapInArrow(work, with_b.select("a", "b").schema).distinct()
+    return with_b.mapInArrow(work, with_b.select("a", "b").schema)
 
 
 def near_duplicates(
@@ -276,7 +276,8 @@ def near_duplicates(
     # rows that repeat an id would each bring its set; where there are some, one of each different set stays
     nodes = member.select(F.col("node").alias("id")).distinct()
     again = scratch.keep(usable.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "again")
-    if again.isEmpty():
+    single = again.isEmpty()
+    if single:
         sets = full_sets(texts.join(nodes, "id", "left_semi"), k)
     else:
         once, often = nodes.join(again, "id", "left_anti"), nodes.join(again, "id", "left_semi")
@@ -297,7 +298,8 @@ def near_duplicates(
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bits.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        return verified(both.where(sketch_overlap(F.col("sa"), F.col("sb"), longs) >= sketch_least).select("a", "b"), sets, threshold)
+        good = verified(both.where(sketch_overlap(F.col("sa"), F.col("sb"), longs) >= sketch_least).select("a", "b"), sets, threshold)
+        return good if single else good.distinct()  # an id of several texts has several sets
 
     def beside_hub(crowded: DataFrame, level: int) -> DataFrame:
         """Buckets of what members have besides their bucket's hub.
