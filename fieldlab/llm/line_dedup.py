@@ -74,7 +74,8 @@ def probes(lines: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def counts(line: Column) -> Column:
-    return F.array(*[(F.length(line) - F.length(F.translate(line, c, ""))).cast("int") for c in COUNTED])
+    """How often the line has each counted character: how many bytes it loses without it."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
 
 
 def by_counts(crowded: DataFrame, level: int, edits: int) -> DataFrame:
@@ -90,20 +91,27 @@ def grams(line: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line) - (GRAM - 1))), lambda i: F.xxhash64(F.substring(line, i, F.lit(GRAM)))))
 
 
-def by_grams(crowded: DataFrame, level: int, near: DataFrame, edits: int) -> DataFrame:
+def runs_of(crowded: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, x): the runs of characters of the crowded lines, and of no others."""
+    return near.select("node", "line").join(crowded.select("node").distinct(), "node").select("node", grams(F.col("line")).alias("x"))
+
+
+def by_grams(crowded: DataFrame, level: int, near: DataFrame, edits: int, scratch: Scratch | None = None) -> DataFrame:
     """Of (band, node, fact) finer buckets by the runs of characters that lines have and their bucket's hub has not.
 
     An edit takes GRAM runs at most from a line, so a linked line lacks t =
     GRAM * edits of them at most. Runs are ordered by how many lines of the
     bucket have them, rare ones first. The first run that two linked lines
     share outside the hub is among the first t + 1 of either; if they share
-    none, both have t at most, and such lines are a bucket of their own.
+    none, both have t at most, and such lines are a bucket of their own. With
+    `scratch`, the lines' runs are worked out once and kept there.
     """
     lacks = GRAM * edits
     rank = F.struct(F.when(F.col("fact.own"), 0).otherwise(1).alias("first"), F.xxhash64("node", F.lit(level)).alias("p"), "node")
     hub = crowded.groupBy("band").agg(F.min(rank)["node"].alias("hub"))
-    own = crowded.join(hub, "band").join(near.select("node", grams(F.col("line")).alias("x")), "node")
-    both = own.join(near.select(F.col("node").alias("hub"), grams(F.col("line")).alias("y")), "hub")
+    of = runs_of(crowded, near)
+    of = of if scratch is None else scratch.keep(of, "runs")
+    both = crowded.join(hub, "band").join(of, "node").join(of.select(F.col("node").alias("hub"), F.col("x").alias("y")), "hub")
     each = both.select("band", "node", "fact", F.explode_outer(F.array_except("x", "y")).alias("g"))
     often = each.where("g IS NOT NULL").groupBy("band", "g").agg(F.count(F.lit(1)).alias("times"))
     runs = each.join(often, ["band", "g"], "left").groupBy("band", "node").agg(F.first("fact").alias("fact"), F.array_sort(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("times", "g")))).alias("g"))  # runs of a line
@@ -112,13 +120,13 @@ def by_grams(crowded: DataFrame, level: int, near: DataFrame, edits: int) -> Dat
     return runs.select("band", "node", "fact", F.explode(F.concat(keys, few)).alias("g")).select(F.xxhash64("band", "g", F.lit(level)).alias("band"), "node", "fact")
 
 
-def finer(crowded: DataFrame, level: int, near: DataFrame, edits: int) -> DataFrame:
+def finer(crowded: DataFrame, level: int, near: DataFrame, edits: int, scratch: Scratch | None = None) -> DataFrame:
     """By counts where these tell lines apart, else by runs of characters."""
     if level > COUNT_LEVELS:
-        return by_grams(crowded, level, near, edits)
+        return by_grams(crowded, level, near, edits, scratch)
     alike = crowded.groupBy("band").agg((F.approx_count_distinct(F.xxhash64("fact.counts"), 0.1) * ALIKE < F.count(F.lit(1))).alias("alike"))
     told = crowded.join(alike, "band")
-    return by_counts(told.where("NOT alike").drop("alike"), level, edits).unionByName(by_grams(told.where("alike").drop("alike"), level, near, edits))
+    return by_counts(told.where("NOT alike").drop("alike"), level, edits).unionByName(by_grams(told.where("alike").drop("alike"), level, near, edits, scratch))
 
 
 def let(value: Column, then) -> Column:
@@ -225,7 +233,7 @@ def line_components(docs: DataFrame, scratch: Scratch, text_col: str, edits: int
     def index_first(fact: Column) -> Column:
         return F.when(fact["own"], 0).otherwise(1)
 
-    found = link_components(member, compatible, verified, scratch, priority=index_first, refine=lambda crowded, level: finer(crowded, level, near, edits), small_bucket=crowd, levels=LEVELS)
+    found = link_components(member, compatible, verified, scratch, priority=index_first, refine=lambda crowded, level: finer(crowded, level, near, edits, scratch), small_bucket=crowd, levels=LEVELS)
     return found.join(near.select("node", "same"), "node").select("same", "component")
 
 

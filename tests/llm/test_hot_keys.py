@@ -130,3 +130,19 @@ def test_runs_outside_the_hub_keep_linked_lines_together(spark):
         for r in line_dedup.by_grams(crowded, level, near, 2).collect():
             buckets.setdefault(r.node, set()).add(r.band)
         assert all(buckets[node[x]] & buckets[node[y]] for x, y in pairs)
+
+
+def test_runs_are_worked_out_for_crowded_lines_only(spark, tables):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh é€") for _ in range(n))
+    crowded = [f"request {rng.randint(0, 10**8 - 1):08d} finished on host alpha beta gamma" for _ in range(40)]
+    others = [text(60) for _ in range(100)]
+    lines = crowded + others + [s + "x" for s in others]
+    got = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), crowd=16).where("n_removed > 0").collect()
+    assert {r.doc_id for r in got} == set(range(140, 240))
+    assert tables["near"][0].count() == len(lines)
+    line = {r.node: r.line for r in tables["near"][0].select("node", "line").collect()}
+    runs = [[line[r.node] for r in t.select("node").collect()] for t in tables["runs"]]
+    assert sorted(runs[0]) == sorted(crowded) and all(len(x) == len(set(x)) and set(x) <= set(crowded) for x in runs)
+    for r in tables["near"][0].select("line", "counts").collect():
+        assert list(r.counts) == [r.line.count(c) for c in line_dedup.COUNTED]
