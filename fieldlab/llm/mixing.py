@@ -11,9 +11,9 @@ blocks from it, and start again at its end.
 
 Null text and empty text have size 0 and are never taken. A null source is a
 source, the last one. Repeated rows each count. An empty table gives no rows.
-No figure is ever gathered for more than one row per source or per
-(source, bucket of the seeded order), so a source that holds a third of all
-rows is split over its buckets.
+No figure is ever gathered for more than one row per source or per part or
+bucket of a source's seeded order, so a source that holds a third of all rows,
+or an id that does, is split over its buckets.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 SHARDS = 16
 SEED = "mix-1"
+#: Parts of the rows' keys, of about equal numbers, that rows of one id and size are dealt to.
+ROW_PARTS = 256
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -92,35 +94,47 @@ def mix(
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, blocks of its source, and by_shard: the words taken for each shard.
 
-    bucket_digits: hex digits of the seeded key that make the buckets within a
-    source; 16 ** bucket_digits buckets are summed per source, and as many for
-    each id that is null or repeated.
-    row_col: a key of the rows, unique and never null. It is added to the
-    result, as ids may be null or repeated, and orders rows of the same id and size.
+    A source's rows are in the order of the seeded key, which is made from the
+    id. Rows of one id, and those without, are in the order of their sizes, then
+    of row_col if it is given, else of their texts' MD5s.
+    bucket_digits: hex digits of the seeded key that make the parts of a source;
+    16 ** bucket_digits of them are summed per source. A part is a bucket, or
+    has several where an id that is null or repeated may bring many rows.
+    row_col: a key of the rows, a number, unique and never null. It is added to
+    the result, as ids may be null or repeated.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("content"), (F.col(row_col) if row_col else F.lit(0)).alias("row"))
     # a source's name as a key that is never null
-    rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("bucket", F.substring("key", 1, bucket_digits))
+    rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("part", F.substring("key", 1, bucket_digits))
     scratch = Scratch(spark, "mix")
     rows = scratch.keep(rows, "sizes")
-    # many rows of one id, or without one, would be one bucket: they have buckets by content, after those that share their first digits
-    again = scratch.keep(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
-    spread = F.col("doc_id").isNull()
-    if not again.isEmpty():
-        rows, spread = rows.join(again, "doc_id", "left"), spread | F.col("rows").isNotNull()
-    rows = rows.withColumn("bucket", F.when(spread, F.concat("key", F.substring("content", 1, bucket_digits))).otherwise(F.col("bucket"))).drop("rows")
-
-    buckets = rows.groupBy("name", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    within = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("name", "bucket", F.coalesce(F.sum("bucket_size").over(within), F.lit(0)).alias("bucket_start"))
+    # many rows of one id, or without one, would be one bucket: all rows that share its first digits have buckets by what orders them
+    again = scratch.keep(rows.where("doc_id IS NOT NULL").groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
+    shared = F.broadcast(again.select("part", F.lit(True).alias("shared")).distinct())
+    split = F.coalesce("shared", F.lit(False)) | (F.col("part") == F.substring(F.md5(F.lit(f"{seed}:")), 1, bucket_digits))
+    if row_col:
+        ends = rows.agg(F.percentile_approx("row", [i / ROW_PARTS for i in range(1, ROW_PARTS)])).first()[0] or []
+        last = F.lpad(F.hex(F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: end <= F.col("row"))).cast("long")), 4, "0")
+    else:
+        last = F.substring("content", 1, bucket_digits)
+    bucket = F.concat("key", F.col("doc_id").isNotNull().cast("int").cast("string"), F.lpad(F.hex("size"), 16, "0"), last)
+    rows = rows.join(shared, "part", "left").withColumn("bucket", F.when(split, bucket).otherwise(F.col("part"))).drop("shared")
+
+    def sum_before(size: str, order: str, *of: str) -> Column:
+        return F.coalesce(F.sum(size).over(Window.partitionBy(*of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    buckets = rows.groupBy("name", "source", "part", "bucket").agg(F.sum("size").alias("bucket_size"))
+    parts = buckets.groupBy("name", "part").agg(F.sum("bucket_size").alias("part_size")).select("name", "part", sum_before("part_size", "part", "name").alias("part_start"))
+    starts = buckets.select("name", "part", "bucket", sum_before("bucket_size", "bucket", "name", "part").alias("in_part")).join(parts, ["name", "part"])
+    starts = starts.select("name", "bucket", (F.col("part_start") + F.col("in_part")).alias("bucket_start"))
     sources = buckets.groupBy("name", "source").agg(F.sum("bucket_size").alias("source_size"))
     quotas = apportion(targets(sources.select("source", "source_size"), weights, cap), block_words, shards)
     quotas = quotas.withColumn("name", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
 
-    order = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "content", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size", "row" if row_col else "content").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(starts, ["name", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     full = placed.join(quotas.select("name", "source_size", "target", "blocks", "ends"), "name")
 

@@ -1,5 +1,6 @@
 """Many rows of one id, without an id, or of one text; texts with very many runs."""
 
+import hashlib
 import random
 import time
 
@@ -146,3 +147,22 @@ def test_runs_are_worked_out_for_crowded_lines_only(spark, tables):
     assert sorted(runs[0]) == sorted(crowded) and all(len(x) == len(set(x)) and set(x) <= set(crowded) for x in runs)
     for r in tables["near"][0].select("line", "counts").collect():
         assert list(r.counts) == [r.line.count(c) for c in line_dedup.COUNTED]
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_mixing_takes_rows_of_one_id_in_the_order_of_sizes(spark, keyed):
+    """Also beside other ids with the same first digits, and where the mix ends within the rows of that id."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 7, i]), " ".join(["w"] * rng.randint(0, 9) + [f"x{rng.randint(0, 99)}"]), i) for i in range(400)]
+    docs = [(d, t, "a", n) for d, t, n in rows] + [(1000, "v " * 100, "b", 400)]
+    df = spark.createDataFrame(docs, DOC + ", n long")
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for digits in (0, 1, 3):
+        got = mixing.mix(df, bucket_digits=digits, row_col="n" if keyed else None).collect()
+        left = sum(r.taken for r in got if r.source_size != 100)
+        assert 0 < left < sum(len(t.split()) for _, t, _ in rows)
+        want = []
+        for _, _, size, _, d, n in sorted((md5(f"{mixing.SEED}:{'' if d is None else d}"), d or 0, len(t.split()), n if keyed else md5(t), d, n) for d, t, n in rows):
+            want.append((d, size, min(size, left), n if keyed else None))
+            left -= want[-1][2]
+        assert sorted(map(str, want)) == sorted(str((r.doc_id, r.size, r.taken, r.n if keyed else None)) for r in got if r.source_size != 100)
